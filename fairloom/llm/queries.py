@@ -22,9 +22,16 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return component_report(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fairloom.llm.secrets import secrets_report
+
+    return secrets_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_benchmark_decontamination,
     op7_simhash_near_dedup,
+    op10_secret_scans,
 )}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -52,5 +59,30 @@ named AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+""",
+    "op10_secret_scans": r"""
+WITH rules(rank, kind, pattern, least) AS (VALUES
+  (1, 'assign', '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 12),
+  (2, 'access', 'AKIA[A-Z0-9]+', 18), (3, 'hex', '[0-9a-f]+', 16)),
+doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+parts AS (
+  SELECT r, 1 AS rank, regexp_extract_all(text, (SELECT pattern FROM rules WHERE rank = 1)) AS m,
+    regexp_extract_all(text, (SELECT pattern FROM rules WHERE rank = 1), 2) AS v,
+    string_split_regex(text, (SELECT pattern FROM rules WHERE rank = 1)) AS g FROM doc
+  UNION ALL SELECT r, 2, regexp_extract_all(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+'),
+    string_split_regex(text, 'AKIA[A-Z0-9]+') FROM doc
+  UNION ALL SELECT r, 3, regexp_extract_all(text, '[0-9a-f]+'), regexp_extract_all(text, '[0-9a-f]+'),
+    string_split_regex(text, '[0-9a-f]+') FROM doc),
+each AS (SELECT r, rank, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS m, unnest(v) AS v, unnest(g[1:len(m)]) AS g FROM parts),
+placed AS (
+  SELECT r, rank, length(v) AS n, sum(length(g) + length(m)) OVER (PARTITION BY r, rank ORDER BY i) AS stop, length(m) AS size FROM each),
+kept AS (
+  SELECT r, rank, kind, (stop - size)::BIGINT AS s, stop::BIGINT AS e FROM placed JOIN rules USING (rank) WHERE n >= least),
+found AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS c,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans FROM kept GROUP BY r)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex,
+  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM doc LEFT JOIN found USING (r)
 """,
 }
