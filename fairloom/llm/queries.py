@@ -22,6 +22,12 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return component_report(table(spark, sf_dir, "documents"))
 
 
+def op9_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fairloom.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fairloom.llm.secrets import secrets_report
 
@@ -31,6 +37,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_benchmark_decontamination,
     op7_simhash_near_dedup,
+    op9_best_two_fit_packing,
     op10_secret_scans,
 )}
 
