@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ def fold(key: Column | str) -> Column:
 def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges whose texts hold about limit bytes; one long text is a range of its own."""
     start = size = 0
-    for i, n in enumerate(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)):
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)):
         if i > start and size + n > limit:
             yield start, i
             start, size = i, 0
@@ -38,7 +39,7 @@ def blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int
 
 def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts' UTF-8 bytes in one array, and where each text starts (one more entry than texts). Null is empty."""
-    texts = pa.compute.fill_null(texts, "").cast(pa.large_string())
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     _, offsets, data = texts.buffers()
