@@ -16,6 +16,12 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fairloom.llm.language import language_report
+
+    return language_report(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fairloom.llm.toxicity import toxicity_report
 
@@ -42,6 +48,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_benchmark_decontamination,
+    op3_language_id,
     op6_toxicity,
     op7_simhash_near_dedup,
     op9_best_two_fit_packing,

@@ -8,7 +8,7 @@ with the smallest hashes of their ids, weighted back to the classes' shares. Sco
 without a shuffle.
 
 Defined results: a null or wordless text scores the leak. Null labels aren't learned from; documents without an id
-are scored but never learned from. Without usable labels every score is 0. Repeated rows are scored alike.
+are scored but never learned from. Without usable labels no word counts and every score is next to 0. Repeated rows are scored alike.
 """
 
 from __future__ import annotations
@@ -130,7 +130,7 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, class_wei
         logit = BIAS + np.bincount(sentence, params[word], minlength=n_sentences)
         p = 1 / (1 + np.exp(-logit))
         sure = np.bincount(owner, np.logaddexp(0, logit), minlength=len(docs)) + plain * np.logaddexp(0, BIAS) + np.logaddexp(0, params[-1])
-        by_sure = scale * np.where(labels == 1, -1 / np.expm1(np.maximum(sure, 1e-9)), 1.0)
+        by_sure = scale * np.where(labels == 1, -1 / np.expm1(np.clip(sure, 1e-9, 500)), 1.0)
         grad = np.zeros_like(params)
         grad[:-1] = np.bincount(word, (by_sure[owner] * p)[sentence], minlength=len(keys)) + STIFF * (params[:-1] - PRIOR)
         grad[-1] = by_sure.sum() / (1 + np.exp(-params[-1]))
