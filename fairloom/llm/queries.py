@@ -22,6 +22,12 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fairloom.llm.substrings import removal_report
+
+    return removal_report(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fairloom.llm.toxicity import toxicity_report
 
@@ -49,6 +55,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_benchmark_decontamination,
     op3_language_id,
+    op4_substring_dedup,
     op6_toxicity,
     op7_simhash_near_dedup,
     op9_best_two_fit_packing,
@@ -80,6 +87,19 @@ named AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
+""",
+    "op4_substring_dedup": r"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (
+  SELECT r, doc_id, unnest(range(1, len(w) - 11)) AS p,
+    unnest([array_to_string(w[i:i+12], ' ') FOR i IN range(1, len(w) - 11)]) AS g FROM doc WHERE len(w) >= 13),
+firsts AS (SELECT g, min(doc_id) AS first_id FROM grams GROUP BY g),
+hit AS (SELECT r, p FROM grams JOIN firsts USING (g) WHERE doc_id > first_id),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + 13)) AS q FROM hit),
+lists AS (SELECT r, list(q) AS q, count(*) AS n FROM gone GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN q IS NULL THEN w ELSE [w[i] FOR i IN range(1, len(w) + 1) IF NOT list_contains(q, i)] END, ' ')) AS kept_sha256
+FROM doc LEFT JOIN lists USING (r)
 """,
     "op10_secret_scans": r"""
 WITH rules(rank, kind, pattern, least) AS (VALUES
