@@ -28,6 +28,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_report(table(spark, sf_dir, "documents"))
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fairloom.llm.neighbours import neighbour_report
+
+    return neighbour_report(table(spark, sf_dir, "embeddings"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fairloom.llm.toxicity import toxicity_report
 
@@ -56,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op1_benchmark_decontamination,
     op3_language_id,
     op4_substring_dedup,
+    op5_nearest_neighbours,
     op6_toxicity,
     op7_simhash_near_dedup,
     op9_best_two_fit_packing,
