@@ -97,7 +97,16 @@ def split_words(raw: np.ndarray, at: np.ndarray, is_word: np.ndarray) -> tuple[n
 
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return range_hashes(_BYTE_CODES[raw], starts, ends)
+    """Hashes of words in order of their places, worked out for a stretch of bytes at a time."""
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + (1 << 19), "right")))
+        a = int(starts[i])
+        b = max(int(ends[j - 1]), a)
+        out[i:j] = range_hashes(_BYTE_CODES[raw[a:b]], starts[i:j] - a, ends[i:j] - a)
+        i = j
+    return out
 
 
 SPACES = np.zeros(256, bool)

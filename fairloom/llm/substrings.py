@@ -33,7 +33,7 @@ from fairloom.llm.common import NOT_SPACE, blocks, flat_bytes, range_hashes, spl
 from fairloom.operators.storage import cut
 
 WIDTH = 13
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 EDGE_BYTES = 7  # of each hash that travel; the bucket's number adds some bits
 
 #: A run of consecutive edges and where its source has the same.
@@ -89,7 +89,7 @@ def _edge_rows(docs: DataFrame, key: str, text: str, width: int, buckets: int, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in blocks(batch.column(1), 8_000_000):
+            for a, b in blocks(batch.column(1)):
                 part = batch.slice(a, b - a)
                 part = part.take(pa.array(np.argsort(part.column(0).to_numpy(), kind="stable")))
                 ids, tags = part.column(0).to_numpy(), part.column(2).to_numpy()
@@ -122,7 +122,14 @@ def _edge_rows(docs: DataFrame, key: str, text: str, width: int, buckets: int, b
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "kind", "size", "edges", "places", "owners"])
 
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull())
-    return rows.select(F.col(key).cast("long"), text, F.xxhash64(text).alias("tag")).mapInArrow(run, _PACKED)
+    return rows.select(F.col(key).cast("long"), text, "tag").mapInArrow(run, _PACKED)
+
+
+def tagged(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, text and tag: what tells rows of one id apart. Only where an id is repeated is that a hash of the text."""
+    repeats = docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1")
+    tag = F.lit(0).cast("long") if repeats.isEmpty() else F.xxhash64(text)
+    return docs.select(key, text, tag.alias("tag"))
 
 
 def _repeated(table: pa.Table, groups: int) -> Iterator[tuple[int, int, bytes]]:
@@ -167,7 +174,7 @@ def _repeated(table: pa.Table, groups: int) -> Iterator[tuple[int, int, bytes]]:
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, bits: int = 64) -> DataFrame:
-    """One row for each document that takes part: doc, tag, own (its spans, packed), asked (the ranges other documents'
+    """From tagged documents, one row for each that takes part: doc, tag, own (its spans, packed), asked (the ranges other documents'
     spans name it as source for, packed)."""
     volume = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(4, -(-volume // BUCKET_BYTES))
@@ -223,7 +230,7 @@ _ASKED = "array<struct<start:int,edges:int,digest:binary>>"
 
 def _marked(docs: DataFrame, spans: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """key, tag, n_words, n_removed, kept_sha256 of every row if all spans hold, and the digests that tell if they do."""
-    left = docs.select(F.col(key), F.col(text), F.xxhash64(text).alias("tag_")).withColumn("asked_none", F.array().cast("array<binary>"))
+    left = docs.select(key, text, F.col("tag").alias("tag_")).withColumn("asked_none", F.array().cast("array<binary>"))
     right = spans.withColumnRenamed("tag", "span_tag").hint("shuffle_hash")
     joined = left.join(right, (left[key] == right["doc"]) & (left["tag_"] == right["span_tag"]), "left")
     key_type = docs.select(key).schema[0].dataType.simpleString()
@@ -268,7 +275,7 @@ def _sorted_out(docs: DataFrame, marked: DataFrame, wrong: DataFrame, key: str,
     documents that walk the same edge have the same digest. Whatever else has the edge's hash was compared with the
     same sources: it is unverified too, or equals the source's edge and not this one.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("tag"), text).dropDuplicates(["doc", "tag"])
+    rows = docs.select(F.col(key).cast("long").alias("doc"), "tag", text).dropDuplicates(["doc", "tag"])
     sources = wrong.select(F.col("src").alias("doc")).distinct()
     texts = rows.join(wrong.select("doc", "tag", "start", "edges").distinct(), ["doc", "tag"]).unionByName(
         rows.join(sources, "doc").withColumns({"start": F.lit(0), "edges": F.lit(2**31 - 1)}),
@@ -299,7 +306,7 @@ def _sorted_out(docs: DataFrame, marked: DataFrame, wrong: DataFrame, key: str,
 
 def removal_report(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, bits: int = 64) -> DataFrame:
     """key, n_words, n_removed and kept_sha256 of every row. bits: how much of the edge hashes is used."""
-    docs = docs.select(key, text)
+    docs = tagged(docs, key, text)
     marked = cut(_marked(docs, repeated_spans(docs, key, text, width, bits), key, text, width))
     wrong = cut(unverified(marked, key))
     columns = [key, "n_words", "n_removed", "kept_sha256"]
@@ -307,8 +314,7 @@ def removal_report(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         return marked.select(columns)
     exact = cut(_sorted_out(docs, marked, wrong, key, text, width))
     there = exact.select(F.col("doc").alias("e_doc"), F.col("tag").alias("e_tag"), "ranges").hint("shuffle_hash")
-    tagged = docs.withColumn("tag", F.xxhash64(text))
-    again = tagged.join(there, (tagged[key] == there["e_doc"]) & (tagged["tag"] == there["e_tag"])).select(key, text, "ranges")
+    again = docs.join(there, (docs[key] == there["e_doc"]) & (docs["tag"] == there["e_tag"])).select(key, text, "ranges")
     key_type = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +340,8 @@ def repeated_paths(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     joined to the spans on the source, which are cut there; pieces that are the same range of the same source are one
     path.
     """
-    marked = cut(_marked(docs.select(key, text), repeated_spans(docs.select(key, text), key, text, width), key, text, width))
+    docs = tagged(docs, key, text)
+    marked = cut(_marked(docs, repeated_spans(docs, key, text, width), key, text, width))
     wrong = unverified(marked, key)
     spans = marked.select(F.col(key).alias("doc"), "tag", F.explode("own").alias("s")).select("doc", "tag", "s.start", "s.edges", "s.src", "s.src_tag", "s.src_start")
     spans = cut(spans.join(wrong, ["doc", "tag", "start", "edges", "src", "src_tag", "src_start"], "left_anti"))
