@@ -46,6 +46,12 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return component_report(table(spark, sf_dir, "documents"))
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fairloom.llm.chat import formatted
+
+    return formatted(table(spark, sf_dir, "conversations"))
+
+
 def op9_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fairloom.llm.packing import pack
 
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op5_nearest_neighbours,
     op6_toxicity,
     op7_simhash_near_dedup,
+    op8_chat_formatting,
     op9_best_two_fit_packing,
     op10_secret_scans,
 )}
@@ -107,6 +114,17 @@ lists AS (SELECT r, list(q) AS q, count(*) AS n FROM gone GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
   sha256(array_to_string(CASE WHEN q IS NULL THEN w ELSE [w[i] FOR i IN range(1, len(w) + 1) IF NOT list_contains(q, i)] END, ' ')) AS kept_sha256
 FROM doc LEFT JOIN lists USING (r)
+""",
+    "op8_chat_formatting": r"""
+WITH turns AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+chats AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>', chr(10) ORDER BY turn NULLS FIRST, role, text) AS chat,
+    list(len(role) || ':' || role || len(text) || ':' || text ORDER BY turn NULLS FIRST, role, text) AS said
+  FROM turns GROUP BY conv_id),
+begun AS (SELECT DISTINCT array_to_string(said[1:i], chr(31)) AS s, i FROM (SELECT said, unnest(range(1, len(said))) AS i FROM chats)),
+whole AS (SELECT array_to_string(said, chr(31)) AS s, n_turns, chat, min(conv_id) AS conv_id, count(*) AS copies FROM chats GROUP BY ALL)
+SELECT conv_id, n_turns, copies, chat FROM whole WHERE NOT EXISTS (SELECT 1 FROM begun WHERE begun.s = whole.s AND begun.i = whole.n_turns)
 """,
     "op10_secret_scans": r"""
 WITH rules(rank, kind, pattern, least) AS (VALUES
