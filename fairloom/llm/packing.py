@@ -30,8 +30,8 @@ from fairloom.operators.storage import cut
 SEQUENCE, SEPARATOR = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
 GROUP = 65_536
-#: Chunks between white space whose ids a worker remembers; past this it starts afresh.
-REMEMBERED = 400_000
+#: Chunks between white space, and words in them, whose ids a task remembers; past this it starts afresh.
+REMEMBERED = 150_000
 #: Longer chunks hardly come again.
 LONG = 20
 
@@ -115,6 +115,11 @@ class ChunkTokenizer:
         probe = "Some words,  with marks!? \u00c9t\u00e9 x"
         self.chunked = b"".join(map(self.ids.__getitem__, probe.encode().split())) == self.ids.plain(probe)
 
+    def forget(self) -> None:
+        """Workers live on after a task; what they remembered should not."""
+        self.ids.clear()
+        self.ids.words.clear()
+
     def encode(self, text: bytes | None) -> bytes:
         if not text:
             return b""
@@ -157,6 +162,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                 names=[key, "piece", "start", "length", "ids_crc32"],
             )
+        coder.forget()
 
     return docs.select(key, text).mapInArrow(run, schema)
 
