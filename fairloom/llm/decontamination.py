@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fairloom.llm.common import without
 
@@ -31,7 +30,10 @@ MAX_COVERAGE = 0.5
 _TABLE = bytes(
     c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)
 )
-_SPANS = "array<struct<start:int,end:int>>"
+_HITS = "struct<n_words:long,n_hit:long,hit_items:array<string>,hit_spans:array<struct<start:int,end:int>>>"
+_HITS_ARROW = pa.struct([
+    ("n_words", pa.int64()), ("n_hit", pa.int64()), ("hit_items", pa.list_(pa.string())), ("hit_spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+])
 
 
 def normalised(text: str | None) -> bytes:
@@ -162,44 +164,41 @@ def _union(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
+def _matcher(machine: SuffixAutomaton):
+    """A function of texts and what earlier automata found in them."""
+
+    @F.arrow_udf(_HITS)
+    def matched(texts: pa.Array, before: pa.Array) -> pa.Array:
+        found = []
+        for body, was in zip(texts, before, strict=True):
+            words = normalised(body.as_py()).split()
+            spans, names = machine.matches(words)
+            was = was.as_py() or {"hit_items": [], "hit_spans": []}
+            if was["hit_spans"]:
+                spans = _union([(s["start"], s["end"]) for s in was["hit_spans"]], spans)
+            found.append({
+                "n_words": len(words), "n_hit": sum(e - s for s, e in spans), "hit_items": sorted({*was["hit_items"], *(x for x in names if x is not None)}),
+                "hit_spans": [{"start": s, "end": e} for s, e in spans],
+            })
+        return pa.array(found, _HITS_ARROW)
+
+    return matched.asNondeterministic()  # else a filter on the result would run it twice
+
+
 def match_items(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with hit_spans (word ranges, end exclusive), hit_items (ids as strings, sorted), n_words and n_hit."""
     added = ("n_words", "n_hit", "hit_items", "hit_spans")
-    out = without(docs, *added)
-    kept = out.columns
-    out = out.withColumns({
-        "n_words": F.lit(None).cast("long"), "n_hit": F.lit(0).cast("long"),
-        "hit_items": F.array().cast("array<string>"), "hit_spans": F.array().cast(_SPANS),
-    })
+    base = without(docs, *added, "hits_")
+    out = base.withColumn("hits_", F.lit(None).cast(_HITS))
     passes = 0
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in out.schema.fields])
     for machine in chain(automata(items, item_id, item_text, window, block_words), [None]):
         if machine is None and passes:
             break
         machine = machine or SuffixAutomaton([], window)  # no items at all: words are still counted
         passes += 1
 
-        def run(batches, machine=machine):
-            for batch in batches:
-                span_lists, item_lists, n_words, n_hit = [], [], [], []
-                was_spans, was_items = batch.column("hit_spans").to_pylist(), batch.column("hit_items").to_pylist()
-                for body, spans, names in zip(batch.column(text), was_spans, was_items, strict=True):
-                    words = normalised(body.as_py()).split()
-                    new, found = machine.matches(words)
-                    spans = _union([(s["start"], s["end"]) for s in spans], new) if spans else new
-                    n_words.append(len(words))
-                    n_hit.append(sum(e - s for s, e in spans))
-                    span_lists.append([{"start": s, "end": e} for s, e in spans])
-                    item_lists.append(sorted({*names, *(x for x in found if x is not None)}))
-                new_columns = {
-                    "n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()),
-                    "hit_items": pa.array(item_lists, pa.list_(pa.string())),
-                    "hit_spans": pa.array(span_lists, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                }
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [new_columns[c] for c in added], names=[*kept, *added])
-
-        out = out.mapInArrow(run, schema)
-    return out
+        out = out.withColumn("hits_", _matcher(machine)(F.col(text), F.col("hits_")))
+    return out.select(*base.columns, *[F.col(f"hits_.{c}").alias(c) for c in added])
 
 
 def _cut_words(body: str | None, spans: list) -> str | None:
@@ -223,15 +222,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", max_
     hit = match_items(docs, items, text=text, **options)
     hit = hit.where(F.col("n_hit") <= F.col("n_words") * F.lit(float(max_coverage)))
 
-    @F.pandas_udf("string")
-    def cleaned(bodies, spans):
-        return bodies.combine(spans, lambda b, s: _cut_words(b, [(x["start"], x["end"]) for x in s]))
+    @F.arrow_udf("string")
+    def cleaned(bodies: pa.Array, spans: pa.Array) -> pa.Array:
+        pairs = zip(bodies.to_pylist(), spans, strict=True)
+        return pa.array([None if b is None else _cut_words(b, [(x["start"], x["end"]) for x in s.as_py()]) for b, s in pairs], pa.string())
 
-    # only the few documents with hits pass through Python again
-    touched = hit.where("n_hit > 0").withColumn(text, cleaned(F.col(text), F.col("hit_spans")))
+    touched = F.col("n_hit") > 0
+    out = hit.withColumn("clean_", cleaned(F.when(touched, F.col(text)), F.col("hit_spans")))  # clean texts stay where they are
+    out = out.withColumn(text, F.when(touched, F.col("clean_")).otherwise(F.col(text)))
     if "n_chars" in columns:
-        touched = touched.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return hit.where("n_hit = 0").select(columns).unionByName(touched.select(columns))
+        out = out.withColumn("n_chars", F.when(touched, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(columns)
 
 
 def contamination_report(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:
