@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fairloom.llm.common import blocks, flat_bytes, fold, without
 
@@ -198,21 +197,18 @@ def identify(docs: DataFrame, network: Network | None, text: str = "text") -> Da
     base = without(docs, "lang_pred", "score")
     if network is None:
         return base.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
-    kept = base.columns
-    schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in base.schema.fields), T.StructField("best", T.StringType()), T.StructField("p", T.DoubleType())])
+    names = pa.array(network.languages)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.array(network.languages)
-        for batch in batches:
-            for a, b in blocks(batch.column(text), 2_000_000):
-                part = batch.slice(a, b - a)
-                p = network.documents(part.column(text))
-                best = p.argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([*part.columns, names.take(pa.array(best)), pa.array(np.clip(p[np.arange(len(p)), best], 0, 1))], names=[*kept, "best", "p"])
+    @F.arrow_udf("struct<best:string,p:double>")
+    def read(texts: pa.Array) -> pa.Array:
+        parts = [network.documents(texts.slice(a, b - a)) for a, b in blocks(texts, 2_000_000)]
+        p = np.concatenate(parts) if parts else np.zeros((0, len(names)))
+        best = p.argmax(axis=1)
+        return pa.StructArray.from_arrays([names.take(pa.array(best)), pa.array(np.clip(p[np.arange(len(p)), best], 0, 1))], ["best", "p"])
 
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    return base.mapInArrow(run, schema).select(
-        *kept, F.when(has_letter, F.col("best")).otherwise(UNKNOWN).alias("lang_pred"), F.when(has_letter, F.col("p")).otherwise(0.0).alias("score"),
+    return base.withColumn("read_", read(F.col(text))).select(
+        *base.columns, F.when(has_letter, F.col("read_.best")).otherwise(UNKNOWN).alias("lang_pred"), F.when(has_letter, F.col("read_.p")).otherwise(0.0).alias("score"),
     )
 
 

@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fairloom.llm.common import blocks, flat_bytes, fold, split_words, without, word_hashes
+from fairloom.llm.common import blocks, flat_bytes, fold, mix, split_words, without, word_hashes
 
-TRAIN_ROWS = 4_000
+TRAIN_ROWS = 2_000
 #: A sentence without telling words; so low that very long clean documents stay clean.
 BIAS = -14.0
 SENTENCE, DOCUMENT = 0.5, 0.5
-#: Words are weighed if they are in this many toxic documents and this many deviations more often than by chance.
+#: Words are weighed if they are in this many toxic documents that differ, and in a share of them that is this many
+#: deviations above their share of the clean ones.
 SUPPORT, DEVIATIONS = 8, 6.0
 STEPS, RATE = 300, 0.25
 #: A word that is weighed tells by itself (weight PRIOR) until labels speak against it; STIFF is how firmly that is held.
@@ -104,11 +105,18 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, class_wei
     flat = np.concatenate(words)
     row = np.repeat(np.arange(len(docs)), [len(x) for x in words])
     keys, number = np.unique(flat, return_inverse=True)
-    toxic = np.bincount(number, labels[row], minlength=len(keys))
-    held = np.bincount(number, weight[row] * labels[row], minlength=len(keys))
-    every = np.bincount(number, weight[row], minlength=len(keys))
-    share = (weight * labels).sum() / weight.sum()
-    over = (held - share * every) / np.sqrt(share * (1 - share) * every)
+    # near copies count once: they share the smallest hash of their rarer words, documents that differ seldom do
+    common = np.bincount(number) > max(10, len(docs) // 50)
+    mixed = mix(flat)
+    mixed[common[number]] = np.iinfo(np.uint64).max
+    cuts = np.searchsorted(row, np.arange(len(docs) + 1))
+    least = [mixed[a:b].min() if a < b else 0 for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    kind = np.unique([x if x < np.iinfo(np.uint64).max else np.uint64(i) for i, x in enumerate(least)], return_inverse=True)[1]
+    seen = np.unique(np.stack([labels[row], number, kind[row]]), axis=1)
+    toxic, clean = (np.bincount(seen[1][seen[0] == k], minlength=len(keys)) for k in (1, 0))
+    n_toxic, n_clean = (len(np.unique(kind[labels == k])) for k in (1, 0))
+    pooled = (toxic + clean) / (n_toxic + n_clean)
+    over = (toxic / n_toxic - clean / n_clean) / np.sqrt(pooled * (1 - pooled) * (1 / n_toxic + 1 / n_clean) + 1e-12)
     chosen = np.flatnonzero((toxic >= SUPPORT) & (over >= DEVIATIONS))
     keys = keys[chosen]
     # the words that count, by sentence with at least one of them
@@ -170,21 +178,19 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with score, n_offending and predicted."""
-    base = without(docs, "score", "n_offending", "predicted")
-    kept = base.columns
-    schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in base.schema.fields), T.StructField("score", T.DoubleType()), T.StructField("n_offending", T.LongType()), T.StructField("predicted", T.IntegerType())])
+    """docs with score, n_offending and predicted. Only the texts go to Python, only the scores come back."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in blocks(batch.column(text)):
-                part = batch.slice(a, b - a)
-                p, offending = model.scores(part.column(text))
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(p), pa.array(offending), pa.array((p >= DOCUMENT).astype(np.int32))], names=[*kept, "score", "n_offending", "predicted"],
-                )
+    @F.arrow_udf("struct<score:double,n_offending:long>")
+    def scored(texts: pa.Array) -> pa.Array:
+        parts = [model.scores(texts.slice(a, b - a)) for a, b in blocks(texts, 1_000_000)]
+        p, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0), np.zeros(0, np.int64))
+        return pa.StructArray.from_arrays([pa.array(p), pa.array(n)], ["score", "n_offending"])
 
-    return base.mapInArrow(run, schema)
+    base = without(docs, "score", "n_offending", "predicted")
+    kept = base.columns
+    scored = scored.asNondeterministic()  # else a filter on the score would run it twice
+    out = base.withColumn("scored_", scored(F.col(text))).select(*kept, "scored_.score", "scored_.n_offending")
+    return out.withColumn("predicted", (F.col("score") >= DOCUMENT).cast("int"))
 
 
 def offending_sentences(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
