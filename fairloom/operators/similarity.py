@@ -13,11 +13,12 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from fairloom.functions.text import normalize_name, norm_en
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio; 0 if either is blank."""
     matcher = difflib.SequenceMatcher(None)
