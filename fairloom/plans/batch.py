@@ -68,9 +68,19 @@ def two_sources(a: DataFrame, b: DataFrame, name_a: str, name_b: str) -> DataFra
     return both.select(*out)
 
 
+def numbered_rows(rows: DataFrame, key: str, parts: int = 1024) -> DataFrame:
+    """rows with n, numbered from 1 without gaps in an order that depends on the keys alone: by part of their hash, then
+    by key. No task sees more than a part; the parts' offsets are a table of fixed size."""
+    dealt = rows.withColumn("part_", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+    sizes = dealt.groupBy("part_").agg(F.count("*").alias("size_"))
+    offsets = sizes.withColumn("before_", F.sum("size_").over(Window.orderBy("part_")) - F.col("size_")).select("part_", "before_")
+    place = F.row_number().over(Window.partitionBy("part_").orderBy(key))
+    return dealt.withColumn("place_", place).join(F.broadcast(offsets), "part_").withColumn("n", F.col("before_") + F.col("place_")).drop("part_", "place_", "before_")
+
+
 def matched_brands(merged: DataFrame, brands: DataFrame) -> DataFrame:
     """merged with brand_id: by equal name, else by the one clearly closest name, else a new id. New ids follow the
-    largest number in use, in order of name; equal new names share one."""
+    largest number in use; equal new names share one."""
     exact = R.latest_per_key(brands.where("name_cn <> ''").select(F.col("brand_id").alias("exact_id"), F.col("name_cn").alias("exact_name")), ["exact_name"], [F.col("exact_id")])
     first = merged.join(exact, F.col("cn_name") == F.col("exact_name"), "left").drop("exact_name")
     left = first.where("exact_id is null").select("cn_name").distinct()
@@ -78,8 +88,7 @@ def matched_brands(merged: DataFrame, brands: DataFrame) -> DataFrame:
     found = first.join(close, "cn_name", "left").withColumn("found", F.coalesce("exact_id", "close_id"))
     top = F.broadcast(brands.agg(F.coalesce(F.max(F.regexp_extract("brand_id", NEW_ID, 1).try_cast("int")), F.lit(0)).alias("top")))
     fresh = found.where("found is null").select("cn_name").distinct()
-    # new names are few; a range of their order gives the ids
-    numbered = fresh.withColumn("n", F.row_number().over(Window.orderBy("cn_name"))).crossJoin(top)
+    numbered = numbered_rows(fresh, "cn_name").crossJoin(top)
     ids = numbered.select("cn_name", F.concat(F.lit("EXPO-"), F.lpad((F.col("top") + F.col("n")).cast("string"), 4, "0")).alias("new_id"))
     return found.join(ids, "cn_name", "left").withColumn("brand_id", F.coalesce("found", "new_id")).withColumn("is_new", F.col("found").isNull()).drop("exact_id", "close_id", "found", "new_id")
 
