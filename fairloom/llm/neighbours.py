@@ -11,7 +11,8 @@ Largest inner product becomes smallest distance by one more coordinate, sqrt(M^2
 query, order by distance is then order by inner product.
 
 Rows are dealt by a hash into blocks of about BLOCK vectors, each with its own sorted arrays, and the stated queries
-go to every block; a block returns its k best for each query, which are merged. All rows are indexed.
+go, in chunks of about BLOCK, to every block, so a task holds one block and one chunk; a block returns its k best for
+each query, which are merged. All rows are indexed.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without
 an id or of another length than the first usable vector's. Rows that repeat an id are each candidates. A query is not
@@ -116,8 +117,12 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     size, largest = facts["n"], float(np.sqrt(facts["norm"])) or 1.0
     n_blocks = max(1, -(-facts["rows"] // block))
     lines = np.random.default_rng(SEED).standard_normal((size + 1, LINES))
-    here = rows.where(F.size("v") == size).withColumns({"block": F.pmod(F.xxhash64("id"), F.lit(n_blocks)), "is_query": F.lit(False)})
-    there = wanted.where(F.size("v") == size).withColumns({"block": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))), "is_query": F.lit(True)})
+    wanted = wanted.where(F.size("v") == size)
+    n_chunks = max(1, -(-wanted.count() // block))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    every_one = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    here = rows.where(F.size("v") == size).withColumn("block", dealt(n_blocks)).withColumn("chunk", every_one(n_chunks)).withColumn("is_query", F.lit(False))
+    there = wanted.withColumn("chunk", dealt(n_chunks)).withColumn("block", every_one(n_blocks)).withColumn("is_query", F.lit(True))
 
     def search(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")
@@ -133,7 +138,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
         q, found, score = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"query_id": q, "vec_id": found, "score": score})
 
-    found = here.unionByName(there).groupBy("block").applyInArrow(search, "query_id long, vec_id long, score double")
+    found = here.unionByName(there).groupBy("block", "chunk").applyInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
