@@ -14,6 +14,7 @@ piece of length 1. Repeated rows and null ids are packed like others. An empty t
 from __future__ import annotations
 
 import os
+import string
 import struct
 import unicodedata
 import zlib
@@ -30,10 +31,12 @@ from fairloom.operators.storage import cut
 SEQUENCE, SEPARATOR = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
 GROUP = 65_536
-#: Chunks between white space, and words in them, whose ids a task remembers; past this it starts afresh.
-REMEMBERED = 150_000
+#: Chunks between white space, and words in them, whose ids a task remembers. Past this what wasn't used goes.
+REMEMBERED = 180_000
 #: Longer chunks hardly come again.
-LONG = 20
+LONG = 32
+#: Marks that may follow a word; together they are one piece. The apostrophe isn't among them: 's is a piece of its own.
+MARKS = string.punctuation.replace("'", "")
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -65,6 +68,8 @@ class ChunkIds(dict):
         super().__init__()
         self.tokenizer = tokenizer
         self.words: dict[str, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
         self.letters = _byte_letters()
 
     def plain(self, text: str) -> bytes:
@@ -73,31 +78,35 @@ class ChunkIds(dict):
     def word(self, word: str) -> bytes:
         """Ids of lower-case letters, straight from the model."""
         spelled = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-        ids = packed([t.id for t in self.tokenizer.model.tokenize(spelled)])
+        ids = self.old_words.get(word) or packed([t.id for t in self.tokenizer.model.tokenize(spelled)])
         if len(word) <= LONG:
+            if len(self.words) > REMEMBERED:
+                self.old_words, self.words = self.words, {}
             self.words[word] = ids
         return ids
 
     def __missing__(self, chunk: bytes) -> bytes:
-        text = chunk.decode("utf-8", "surrogatepass")
-        core = text.rstrip(".,;:!?")
-        low = core.lower()
-        # what normalisation could treat otherwise than lower() goes the whole way
-        if low.isalpha() and (low.isascii() or "\u03a3" not in core and unicodedata.is_normalized("NFC", core)):
-            ids = self.words.get(low) or self.word(low)
-            if len(core) < len(text):
-                tail = text[len(core) :]
-                ids += self.words.get(tail) or self.words.setdefault(tail, self.plain(tail))
-        else:
-            ids = self.plain(text)
-        if len(self) > REMEMBERED:
-            self.clear()
+        ids = self.old.get(chunk) or self.made(chunk)
         if len(chunk) <= LONG:
+            if len(self) > REMEMBERED:
+                self.old = dict(self)
+                self.clear()
             self[chunk] = ids
         return ids
 
+    def made(self, chunk: bytes) -> bytes:
+        text = chunk.decode("utf-8", "surrogatepass")
+        core = text.rstrip(MARKS)
+        low = core.lower()
+        # what normalisation could treat otherwise than lower() goes the whole way
+        if not low.isalpha() or not (low.isascii() or ("\u03a3" not in core and unicodedata.is_normalized("NFC", core))):
+            return self.plain(text)
+        ids = self.words.get(low) or self.word(low)
+        if len(core) == len(text):
+            return ids
+        tail = text[len(core) :]
+        return ids + (self.words.get(tail) or self.words.setdefault(tail, self.plain(tail)))
+
 
 class ChunkTokenizer:
     """Ids of whole texts, put together from the remembered ids of their chunks.
@@ -117,8 +126,8 @@ class ChunkTokenizer:
 
     def forget(self) -> None:
         """Workers live on after a task; what they remembered should not."""
-        self.ids.clear()
-        self.ids.words.clear()
+        for kept in (self.ids, self.ids.words, self.ids.old, self.ids.old_words):
+            kept.clear()
 
     def encode(self, text: bytes | None) -> bytes:
         if not text:
