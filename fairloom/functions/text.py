@@ -270,3 +270,28 @@ def dedupe_list(c: Column, separator: str = "+") -> Column:
 
 def asset_url(c: Column, base: str) -> Column:
     return F.when(c.rlike(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:|/|#)"), c).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), F.regexp_replace(c, r"^\./", "")))
+
+
+def stage_event_text(c: Column, labels: dict[str, str]) -> Column:
+    """'a → b' with the labels of both stages."""
+    sides = F.transform(F.split(c, "→"), lambda s: enum_label(F.trim(s), labels))
+    return F.when(c.contains("→"), F.array_join(sides, " → ")).otherwise(c)
+
+
+def one_line(c: Column) -> Column:
+    """A JSON object's fields as 'key value · key value', blanks left out."""
+    fields = F.from_json(c, "map<string,string>")
+    filled = F.map_filter(fields, lambda k, v: blank_to_null(v).isNotNull())
+    return F.array_join(F.transform(F.array_sort(F.map_entries(filled)), lambda e: F.concat_ws(" ", e["key"], e["value"])), " · ")
+
+
+def tender_row(c: Column) -> Column:
+    """struct(title, bidder, amount, day) of a tender's JSON, whichever of its keys are used."""
+    get = lambda *paths: F.coalesce(*[blank_to_null(F.get_json_object(c, p)) for p in paths], F.lit(""))
+    place = get("$.Province", "$.Area")
+    bidder = get("$.Bidders[0].Name", "$.WinBidder[0].Name", "$.Bidder")
+    return F.struct(
+        F.substring(get("$.Title", "$.ProjectName"), 1, 50).alias("title"),
+        F.substring(F.when((bidder != "") & (place != ""), F.concat(bidder, F.lit("("), place, F.lit(")"))).otherwise(bidder), 1, 35).alias("bidder"),
+        get("$.Amount", "$.BidAmount", "$.Budget").alias("amount"), get("$.PublishDate", "$.PubDate").alias("day"),
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fairloom.functions import text as X
 from fairloom.operators import relational as R
 from fairloom.operators.graph import connected_components
-from fairloom.operators.similarity import best_match, duplicate_pairs, ratio
+from fairloom.operators.similarity import best_match, duplicate_pairs, ratio, scored_pairs
 from fairloom.schema import DOMAINS, RANGES, TABLES
 
 MANUAL = ("官网", "手工")
@@ -296,4 +296,33 @@ def crawl_log_closed(log: DataFrame, batch: str, now: str, found: int, new: int,
     return log.withColumns({c: F.when(mine, F.lit(v)).otherwise(F.col(c)).cast(log.schema[c].dataType) for c, v in values.items()})
 
 
-__all__ = [n for n, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__]
+
+def category_matches(names: DataFrame, categories: DataFrame, accept: float = 0.80, review: float = 0.50, least: int = 4) -> DataFrame:
+    """name, category, sim, verdict (accept or review): each name's closest category; names under least characters have none."""
+    some = names.where(F.char_length("name") >= least).select("name").distinct()
+    pairs = scored_pairs(some, categories.select("category").distinct(), "name", "category", review)
+    best = R.latest_per_key(pairs, ["name"], [F.desc("sim"), F.col("category")])
+    return best.select("name", "category", "sim", F.when(F.col("sim") >= accept, "accept").otherwise("review").alias("verdict"))
+
+
+def cascade_matches(wanted: DataFrame, brands: DataFrame, least: int = 6, fuzzy: float = 0.80) -> DataFrame:
+    """name, brand_id, step: the first way that finds a brand. Steps: equal English name, equal Chinese name, a common
+    beginning of 10, 8, then 6 characters, similar names. What a step finds, the next doesn't look for."""
+    left = wanted.select("name").distinct().where("name <> ''")
+    found = None
+
+    def take(hits: DataFrame, step: str) -> None:
+        nonlocal left, found
+        one = hits.groupBy("name").agg(F.min("brand_id").alias("brand_id")).withColumn("step", F.lit(step))
+        found = one if found is None else found.unionByName(one)
+        left = left.join(one.select("name"), "name", "left_anti")
+
+    for column in ("name_en", "name_cn"):
+        known = brands.where(F.coalesce(column, F.lit("")) != "").select("brand_id", F.lower(column).alias("k"))
+        take(left.join(known, F.lower("name") == F.col("k")), column)
+    for n in (10, 8, 6):
+        heads = brands.where(F.char_length("name_cn") >= n).select("brand_id", F.substring("name_cn", 1, n).alias("k"))
+        take(left.where(F.char_length("name") >= n).join(heads, F.substring("name", 1, n) == F.col("k")), f"first {n}")
+    close = scored_pairs(left.where(F.char_length("name") >= least), brands.where("name_cn <> ''").select("brand_id", "name_cn"), "name", "name_cn", fuzzy)
+    take(R.latest_per_key(close, ["name"], [F.desc("sim"), F.col("brand_id")]), "similar")
+    return found

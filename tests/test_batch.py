@@ -132,3 +132,13 @@ def test_prospects_and_constraints(spark):
     company = schema.empty(spark, "company").unionByName(spark.createDataFrame([(1, "b1", "k1", "A", "manual", 9), (2, "b1", "k1", None, "bad", 5), (3, None, "k1", "C", None, None)], "company_id long, brand_id string, qcc_key_no string, name string, source_type string, prospect_score int"), allowMissingColumns=True)
     found = {(r.company_id, r.rule) for r in schema.violations(company, "company_id", schema.table_rules("company")).collect()}
     assert found == {(2, "name required"), (2, "source_type"), (1, "prospect_score"), (1, "unique brand_id, qcc_key_no"), (2, "unique brand_id, qcc_key_no")}
+
+
+def test_categories_and_cascade(spark):
+    names = spark.createDataFrame([("医疗器械展",), ("食品饮料加工",), ("短名",), ("毫不相干之物",)], "name string")
+    categories = spark.createDataFrame([("医疗器械",), ("食品饮料",)], "category string")
+    assert {(r.name, r.category, r.verdict) for r in B.category_matches(names, categories).collect()} == {("医疗器械展", "医疗器械", "accept"), ("食品饮料加工", "食品饮料", "accept")}
+    brands = spark.createDataFrame([("b1", "上海国际机床展览会", "CIMT"), ("b2", "广州食品与饮料工业展", ""), ("b3", "某展", None)], "brand_id string, name_cn string, name_en string")
+    wanted = spark.createDataFrame([("cimt",), ("某展",), ("上海国际机床展示",), ("广州食品饮料工业展",), ("无",)], "name string")
+    got = {(r.name, r.brand_id, r.step) for r in B.cascade_matches(wanted, brands).collect()}
+    assert got == {("cimt", "b1", "name_en"), ("某展", "b3", "name_cn"), ("上海国际机床展示", "b1", "first 6"), ("广州食品饮料工业展", "b2", "similar")}

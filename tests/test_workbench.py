@@ -7,7 +7,7 @@ import pytest
 
 from fairloom import schema
 from fairloom.plans import workbench as W
-from fairloom.sources import files, html
+from fairloom.sources import files, html, sheets
 from fairloom.streaming import batches
 
 
@@ -135,3 +135,16 @@ def test_files_and_streams(spark, tmp_path):
     stream = batches.merge_stream(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/cp", merge)
     stream.awaitTermination(120)
     assert {tuple(r) for r in batches.snapshot(spark, f"{tmp_path}/out", 0).collect()} == {(1, "c"), (2, "b")}
+
+
+def test_workbooks(spark, tmp_path):
+    rows = spark.createDataFrame([("甲 & 乙", 3, None), ("<丙>", None, "x")], "name string, n int, note string")
+    (tmp_path / "x").mkdir()
+    assert sheets.export_workbook(rows, f"{tmp_path}/x/a.xlsx", {"name": "名称"}, {"note": ["x", "y"]}) == 2
+    got = sheets.sheet_rows(spark, f"{tmp_path}/x").orderBy("row_no")
+    assert got.columns == ["file_path", "row_no", "#", "名称", "n", "note"]
+    assert [tuple(r)[1:] for r in got.collect()] == [(2, "1", "甲 & 乙", "3", ""), (3, "2", "<丙>", "", "x")]
+    filled = files.forward_filled(spark.createDataFrame([(1, "A"), (2, ""), (3, "B"), (4, "-")], "i int, c string"), ["c"], "i")
+    assert [r.c for r in filled.orderBy("i").collect()] == ["A", "A", "B", "B"]
+    with pytest.raises(ValueError):
+        sheets.export_workbook(rows, f"{tmp_path}/x/b.xlsx", most=1)
