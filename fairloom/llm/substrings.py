@@ -11,7 +11,7 @@ How it is dealt out: edges travel as packed arrays, one row for a block of texts
 entry for each edge that is new in its block; a very common passage is thus one entry a block. What other
 documents of the block repeat is compacted right there, against the block's own source. Buckets answer with packed
 places, which meet again by document. Rows number (blocks x buckets), bytes about eight a word, once; texts are
-shuffled once, for the verifying join. The numbers of buckets follow the size of the texts.
+shuffled once, compressed, for the verifying join. The numbers of buckets follow the size of the texts.
 
 Defined results: a null text has no words. A document without an id is neither source nor changed. Rows that repeat
 an id are told apart by their texts; equal ids are no smaller than one another. An empty table gives an empty result.
@@ -228,9 +228,22 @@ _OWN = "array<struct<start:int,edges:int,src:long,src_tag:long,src_start:int,dig
 _ASKED = "array<struct<start:int,edges:int,digest:binary>>"
 
 
+def _carried(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Tagged documents with their texts compressed, for the shuffle."""
+    key_type = docs.select(key).schema[0].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            texts = (t.as_py() for t in batch.column(1).cast(pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((press(t) if t else None for t in texts), pa.binary()), batch.column(2)], names=[key, "body", "tag_"])
+
+    return docs.select(key, text, "tag").mapInArrow(run, f"`{key}` {key_type}, body binary, tag_ long")
+
+
 def _marked(docs: DataFrame, spans: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """key, tag, n_words, n_removed, kept_sha256 of every row if all spans hold, and the digests that tell if they do."""
-    left = docs.select(key, text, F.col("tag").alias("tag_")).withColumn("asked_none", F.array().cast("array<binary>"))
+    left = _carried(docs, key, text).withColumn("asked_none", F.array().cast("array<binary>"))
     right = spans.withColumnRenamed("tag", "span_tag").hint("shuffle_hash")
     joined = left.join(right, (left[key] == right["doc"]) & (left["tag_"] == right["span_tag"]), "left")
     key_type = docs.select(key).schema[0].dataType.simpleString()
@@ -238,11 +251,11 @@ def _marked(docs: DataFrame, spans: DataFrame, key: str, text: str, width: int)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_type = pa.list_(pa.struct([("start", pa.int32()), ("edges", pa.int32()), ("src", pa.int64()), ("src_tag", pa.int64()), ("src_start", pa.int32()), ("digest", pa.binary())]))
         asked_type = pa.list_(pa.struct([("start", pa.int32()), ("edges", pa.int32()), ("digest", pa.binary())]))
+        unpress = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             n_words, n_removed, sha, own_out, asked_out = [], [], [], [], []
-            texts = batch.column(1).cast(pa.binary())
-            for body, own, asked in zip(texts, batch.column(3), batch.column(4), strict=True):
-                words = (body.as_py() or b"").split()
+            for body, own, asked in zip(batch.column(1), batch.column(3), batch.column(4), strict=True):
+                words = unpress(body.as_py()).split() if body.is_valid else []
                 own = np.frombuffer(own.as_py() or b"", SPAN)
                 gone, kept = _kept(words, [(int(s["start"]), int(s["edges"])) for s in own], width) if len(own) else (0, words)
                 n_words.append(len(words))
@@ -256,7 +269,7 @@ def _marked(docs: DataFrame, spans: DataFrame, key: str, text: str, width: int)
                 names=[key, "tag", "n_words", "n_removed", "kept_sha256", "own", "asked"],
             )
 
-    return joined.select(key, text, F.col("tag_").alias("tag"), "own", F.coalesce("asked", "asked_none").alias("asked")).mapInArrow(
+    return joined.select(key, "body", F.col("tag_").alias("tag"), "own", F.coalesce("asked", "asked_none").alias("asked")).mapInArrow(
         run, f"`{key}` {key_type}, tag long, n_words long, n_removed long, kept_sha256 string, own {_OWN}, asked {_ASKED}",
     )
 
