@@ -274,11 +274,19 @@ def _marked(docs: DataFrame, spans: DataFrame, key: str, text: str, width: int)
     )
 
 
+_AT_SOURCE = ["src", "src_tag", "src_start", "edges", "digest"]
+
+
+def _own(marked: DataFrame, key: str) -> DataFrame:
+    spans = marked.select(F.col(key).cast("long").alias("doc"), "tag", F.explode("own").alias("s"))
+    return spans.select("doc", "tag", "s.start", "s.edges", "s.src", "s.src_tag", "s.src_start", "s.digest")
+
+
 def unverified(marked: DataFrame, key: str) -> DataFrame:
-    """Spans whose words are not those at their source."""
-    own = marked.select(F.col(key).alias("doc"), "tag", F.explode("own").alias("s")).select("doc", "tag", "s.start", "s.edges", "s.src", "s.src_tag", "s.src_start", "s.digest")
-    source = marked.where(F.size("asked") > 0).select(F.col(key).alias("src"), F.col("tag").alias("src_tag"), F.explode("asked").alias("s")).select("src", "src_tag", F.col("s.start").alias("src_start"), "s.edges", "s.digest").distinct()
-    return own.join(source, ["src", "src_tag", "src_start", "edges", "digest"], "left_anti")
+    """Ranges of a source and digests that spans claim for them, where the source's words have another digest. What
+    many copies claim alike is one row before it is shuffled."""
+    source = marked.where(F.size("asked") > 0).select(F.col(key).cast("long").alias("src"), F.col("tag").alias("src_tag"), F.explode("asked").alias("s")).select("src", "src_tag", F.col("s.start").alias("src_start"), "s.edges", "s.digest").distinct()
+    return _own(marked, key).select(_AT_SOURCE).distinct().join(source, _AT_SOURCE, "left_anti")
 
 
 def _sorted_out(docs: DataFrame, marked: DataFrame, wrong: DataFrame, key: str, text: str, width: int) -> DataFrame:
@@ -309,9 +317,8 @@ def _sorted_out(docs: DataFrame, marked: DataFrame, wrong: DataFrame, key: str,
     first = each.groupBy("digest").agg(F.min("doc").alias("first"))
     repeats = each.join(first, "digest").where("doc > first").select("doc", "tag", F.col("pos").alias("start"), F.lit(1).alias("edges"))
     touched = wrong.select("doc", "tag").distinct()
-    good = marked.join(touched, (marked[key] == touched["doc"]) & (marked["tag"] == touched["tag"]), "left_semi")
-    good = good.select(F.col(key).cast("long").alias("doc"), "tag", F.explode("own").alias("s")).select("doc", "tag", "s.start", "s.edges", "s.src", "s.src_tag", "s.src_start")
-    good = good.join(wrong, ["doc", "tag", "start", "edges", "src", "src_tag", "src_start"], "left_anti").select("doc", "tag", "start", "edges")
+    own = _own(marked, key).join(touched, ["doc", "tag"], "left_semi")
+    good = own.join(wrong, ["doc", "tag", "start", "edges", "src", "src_tag", "src_start"], "left_anti").select("doc", "tag", "start", "edges")
     every = good.unionByName(repeats.join(touched, ["doc", "tag"], "left_semi"))
     lists = every.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "edges")).alias("ranges"))
     return touched.join(lists, ["doc", "tag"], "left").select("doc", "tag", F.coalesce("ranges", F.array().cast("array<struct<start:int,edges:int>>")).alias("ranges"))
@@ -321,10 +328,11 @@ def removal_report(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     """key, n_words, n_removed and kept_sha256 of every row. bits: how much of the edge hashes is used."""
     docs = tagged(docs, key, text)
     marked = cut(_marked(docs, repeated_spans(docs, key, text, width, bits), key, text, width))
-    wrong = cut(unverified(marked, key))
+    claims = cut(unverified(marked, key))
     columns = [key, "n_words", "n_removed", "kept_sha256"]
-    if wrong.isEmpty():
+    if claims.isEmpty():
         return marked.select(columns)
+    wrong = cut(_own(marked, key).join(claims, _AT_SOURCE, "left_semi").drop("digest"))
     exact = cut(_sorted_out(docs, marked, wrong, key, text, width))
     there = exact.select(F.col("doc").alias("e_doc"), F.col("tag").alias("e_tag"), "ranges").hint("shuffle_hash")
     again = docs.join(there, (docs[key] == there["e_doc"]) & (docs["tag"] == there["e_tag"])).select(key, text, "ranges")
@@ -355,9 +363,7 @@ def repeated_paths(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     """
     docs = tagged(docs, key, text)
     marked = cut(_marked(docs, repeated_spans(docs, key, text, width), key, text, width))
-    wrong = unverified(marked, key)
-    spans = marked.select(F.col(key).alias("doc"), "tag", F.explode("own").alias("s")).select("doc", "tag", "s.start", "s.edges", "s.src", "s.src_tag", "s.src_start")
-    spans = cut(spans.join(wrong, ["doc", "tag", "start", "edges", "src", "src_tag", "src_start"], "left_anti"))
+    spans = cut(_own(marked, key).join(unverified(marked, key), _AT_SOURCE, "left_anti"))
     ends = spans.select("src", "src_tag", F.explode(F.array("src_start", F.col("src_start") + F.col("edges"))).alias("at"))
     branches = ends.groupBy("src", "src_tag").agg(F.array_sort(F.collect_set("at")).alias("ats"))  # at most one a word of the source
     inside = F.filter("ats", lambda a: (a >= F.col("src_start")) & (a <= F.col("src_start") + F.col("edges")))

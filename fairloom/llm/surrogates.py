@@ -41,6 +41,8 @@ KINDS = {
     "male": rf"(?<![\p{{L}}\d])(?:{_TITLES['male']})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
 }
 PATTERN = "|".join(KINDS.values())
+#: Every entity has a digit, an @ or a title; most texts have none, and these two are found much faster than PATTERN.
+NEEDED = (r"[0-9@]", r"(?:M(?:rs?|s|iss|me)|Frau|Herr|S(?:ra?|eñora?)|Г-)")
 _SYLLABLES = {
     "latin": "ba be bo da de do ka ke la le lo ma me mi na ne ni no ra re ri ro sa se si ta te ti to va ve vi".split(),
     "cyrillic": "ба бе бо да де до ка ке ла ле ло ма ме ми на не ни но ра ре ри ро са се си та те ти то ва ве ви".split(),
@@ -173,7 +175,9 @@ def pseudonymised(docs: DataFrame, secret: str = KEY, key: str = "doc_id", text:
     columns = docs.columns
     base = without(docs, "n_entities", "matches_", "hash_")
     kept = base.columns
-    found = base.withColumn("matches_", F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).withColumn("hash_", F.xxhash64(text))
+    body = F.col(text)
+    entities = F.when(body.rlike(NEEDED[0]) | body.rlike(NEEDED[1]), F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0)))
+    found = base.withColumn("matches_", entities).withColumn("hash_", F.xxhash64(text))
     clean = found.where((F.size("matches_") == 0) | F.col("matches_").isNull())
     holding = found.where(F.size("matches_") > 0)
     each = holding.select(F.col(key).alias("k"), F.col("hash_").alias("h"), F.posexplode("matches_").alias("i", "match")).withColumn("of", kind_of(F.col("match")))
