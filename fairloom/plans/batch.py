@@ -11,6 +11,7 @@ from fairloom.functions import text as X
 from fairloom.operators import relational as R
 from fairloom.operators.graph import connected_components
 from fairloom.operators.similarity import best_match, duplicate_pairs, ratio, scored_pairs
+from fairloom.operators.storage import cut
 from fairloom.schema import DOMAINS, RANGES, TABLES
 
 MANUAL = ("官网", "手工")
@@ -96,8 +97,9 @@ def matched_brands(merged: DataFrame, brands: DataFrame) -> DataFrame:
 def merge_run(brands: DataFrame, editions: DataFrame, provenance: DataFrame, raw_a: DataFrame, raw_b: DataFrame, batch: str, now: str, name_a: str = "jufair", name_b: str = "cnexpo") -> dict[str, DataFrame]:
     """brands, editions, provenance after merging a crawl batch of two sources, and stats. Running it again on its own
     result changes nothing but missing numbers, which become 0."""
-    merged = two_sources(normalised_rows(raw_rows(raw_a, batch)), normalised_rows(raw_rows(raw_b, batch)), name_a, name_b)
-    rows = matched_brands(merged, brands)
+    # what follows uses the merged rows four times; they are worked out once
+    merged = cut(two_sources(normalised_rows(raw_rows(raw_a, batch)), normalised_rows(raw_rows(raw_b, batch)), name_a, name_b))
+    rows = cut(matched_brands(merged, brands))
     one = R.latest_per_key(rows, ["brand_id"], [F.col("date_start").desc_nulls_last(), F.col("cn_name")])
     new_brands = one.select("brand_id", F.col("cn_name").alias("name_cn"), F.col("en_name").alias("name_en"), "organizer", "city", "frequency", F.col("industry").alias("industry_raw"), F.lit(now).alias("updated_at"))
     stamp = F.coalesce(X.blank_to_null(F.col("year").cast("string")), X.blank_to_null(F.col("date_start")), F.lit("undated"))
