@@ -112,8 +112,9 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, class_wei
     cuts = np.searchsorted(row, np.arange(len(docs) + 1))
     least = [mixed[a:b].min() if a < b else 0 for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     kind = np.unique([x if x < np.iinfo(np.uint64).max else np.uint64(i) for i, x in enumerate(least)], return_inverse=True)[1]
-    seen = np.unique(np.stack([labels[row], number, kind[row]]), axis=1)
-    toxic, clean = (np.bincount(seen[1][seen[0] == k], minlength=len(keys)) for k in (1, 0))
+    n_kinds = int(kind.max()) + 1
+    seen = np.unique((number * n_kinds + kind[row]) * 2 + labels[row])
+    toxic, clean = (np.bincount(seen[seen % 2 == k] // 2 // n_kinds, minlength=len(keys)) for k in (1, 0))
     n_toxic, n_clean = (len(np.unique(kind[labels == k])) for k in (1, 0))
     pooled = (toxic + clean) / (n_toxic + n_clean)
     over = (toxic / n_toxic - clean / n_clean) / np.sqrt(pooled * (1 - pooled) * (1 / n_toxic + 1 / n_clean) + 1e-12)
