@@ -94,7 +94,7 @@ def matched_brands(merged: DataFrame, brands: DataFrame) -> DataFrame:
     return found.join(ids, "cn_name", "left").withColumn("brand_id", F.coalesce("found", "new_id")).withColumn("is_new", F.col("found").isNull()).drop("exact_id", "close_id", "found", "new_id")
 
 
-def merge_run(brands: DataFrame, editions: DataFrame, provenance: DataFrame, raw_a: DataFrame, raw_b: DataFrame, batch: str, now: str, name_a: str = "jufair", name_b: str = "cnexpo") -> dict[str, DataFrame]:
+def merge_run(brands: DataFrame, editions: DataFrame, provenance: DataFrame, raw_a: DataFrame, raw_b: DataFrame, batch: str, now: str, name_a: str = "site_a", name_b: str = "site_b") -> dict[str, DataFrame]:
     """brands, editions, provenance after merging a crawl batch of two sources, and stats. Running it again on its own
     result changes nothing but missing numbers, which become 0."""
     # what follows uses the merged rows four times; they are worked out once

@@ -20,8 +20,8 @@ def raw(spark, rows):
 
 
 def test_merge_is_idempotent(spark):
-    a = raw(spark, [{"cn_name": "  上海国际机床展  ", "area_str": "面积:10,000平方米", "organizer": "甲", "source_url": "https://jufair.x/1.html"}, {"cn_name": "新展", "source_url": "https://jufair.x/2"}, {"cn_name": "别批", "crawl_batch_id": "B0"}])
-    b = raw(spark, [{"cn_name": "上海国际机床展", "area_str": "12000平方米", "organizer": "乙", "visitors_str": "观众:5.0万人", "source_url": "https://cnexpo.x/1/"}, {"cn_name": "只有乙", "source_url": "https://cnexpo.x/3"}])
+    a = raw(spark, [{"cn_name": "  上海国际机床展  ", "area_str": "面积:10,000平方米", "organizer": "甲", "source_url": "https://site_a.x/1.html"}, {"cn_name": "新展", "source_url": "https://site_a.x/2"}, {"cn_name": "别批", "crawl_batch_id": "B0"}])
+    b = raw(spark, [{"cn_name": "上海国际机床展", "area_str": "12000平方米", "organizer": "乙", "visitors_str": "观众:5.0万人", "source_url": "https://site_b.x/1/"}, {"cn_name": "只有乙", "source_url": "https://site_b.x/3"}])
     brands = schema.empty(spark, "exhibition_brand").unionByName(spark.createDataFrame([("EXPO-0007", "上海国际机床展"), ("EXPO-D92BC0D6", "无关")], "brand_id string, name_cn string"), allowMissingColumns=True)
     state = [brands, schema.empty(spark, "exhibition_edition"), schema.empty(spark, "data_provenance")]
     one = {k: v.cache() for k, v in B.merge_run(*state, a, b, "B1", "2026-01-01").items()}
@@ -30,9 +30,9 @@ def test_merge_is_idempotent(spark):
     assert {ids.pop("只有乙"), new_id} == {"EXPO-0008", "EXPO-0009"}
     assert ids == {"上海国际机床展": "EXPO-0007", "无关": "EXPO-D92BC0D6"}
     e = {r.brand_id: r for r in one["editions"].collect()}
-    assert e["EXPO-0007"].area_sqm == 12000 and e["EXPO-0007"].visitors_count == 50000 and e["EXPO-0007"].data_source == "jufair+cnexpo" and e["EXPO-0007"].date_end == "2026-05-08"
+    assert e["EXPO-0007"].area_sqm == 12000 and e["EXPO-0007"].visitors_count == 50000 and e["EXPO-0007"].data_source == "site_a+site_b" and e["EXPO-0007"].date_end == "2026-05-08"
     assert e[new_id].area_sqm is None and one["provenance"].count() == 4
-    assert "area_sqm: jufair=10000, cnexpo=12000" in e["EXPO-0007"].notes
+    assert "area_sqm: site_a=10000, site_b=12000" in e["EXPO-0007"].notes
     two = B.merge_run(*[one[k] for k in ("brands", "editions", "provenance")], a, b, "B1", "2026-01-02")
     again = {r.brand_id: r.area_sqm for r in two["editions"].collect()}
     assert len(again) == 3 and again[new_id] == 0
