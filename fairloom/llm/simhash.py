@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fairloom.llm.common import without
+from fairloom.llm.copies import copy_groups
 from fairloom.operators.graph import connected_components
 from fairloom.operators.storage import cut
 
@@ -240,14 +241,14 @@ def component_report(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return groups.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def keep_one_of_each(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The document with the smallest key of every group of near copies; of rows that repeat a key, one.
+def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The document with the smallest key of every group of edited copies (see copies); of rows that repeat a key, one.
 
     Rows without a key stay: they can't be named as anyone's copy.
     """
-    groups = near_groups(docs.where(F.col(key).isNotNull()), key)
-    kept = groups.where(F.col(key) == F.col("component")).select(F.col(key).alias("kept_key"))
+    rows, named = copy_groups(docs.where(F.col(key).isNotNull()), key, text)
+    kept = named.groupBy("root").agg(F.min("first_key").alias("kept_key")).select("kept_key").distinct()
     out = docs.join(kept.hint("shuffle_hash"), docs[key] == kept["kept_key"], "left_semi")
-    if not groups.groupBy(key).count().where("count > 1").isEmpty():
+    if not rows.groupBy(key).count().where("count > 1").isEmpty():
         out = out.dropDuplicates([key])
     return out.unionByName(docs.where(F.col(key).isNull()))
