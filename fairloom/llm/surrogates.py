@@ -5,7 +5,8 @@ digits and letters stay letters of the same script and case, punctuation and len
 its check digit passes it again, addresses stay addresses, people keep their title and get given names of the same
 gender and script. The same entity gets the same surrogate everywhere, however it is written (coreference); two names
 that share a surname share its surrogate. Different entities get different surrogates, and no surrogate is an entity
-of the corpus: surrogates are checked in rounds, what collides is hashed again with the next round's number.
+of the corpus: surrogates are checked in rounds, what collides is hashed again with the next round's number. Where a
+space is full (short names, mailboxes and phone numbers), surrogates grow every few rounds, past the entity's length.
 
 All of it is DataFrame operations. Only distinct entities are shuffled for the check; texts are shuffled only for
 documents that hold an entity. Without the secret key surrogates can't be traced back.
@@ -27,6 +28,8 @@ from fairloom.operators.storage import cut
 #: For tests and demonstrations; give your own.
 KEY = "change-me"
 ROUNDS = 60
+#: After so many rounds without a free value surrogates grow by a syllable, letter or digit, and again after as many.
+GROW = 4
 
 # Fixed patterns, in order of precedence.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -93,19 +96,22 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(each, weighed), F.lit(0), lambda a, x: a + x) % 10
 
 
-def _name(stream: Column, gender: str, script: str, given: bool) -> Column:
+def _name(stream: Column, gender: str, script: str, given: bool, more: int) -> Column:
     syllables = F.array(*[F.lit(s) for s in _SYLLABLES[script]])
-    parts = [F.get(syllables, _number(stream, i, 32)) for i in range(3 if given else 5)]
+    parts = [F.get(syllables, _number(stream, i, 32)) for i in range((3 if given else 5) + more)]
     return F.concat(*parts, F.lit(_ENDINGS[gender, script] if given else ""))
 
 
 def surrogate(kind: Column, norm: Column, key: str, attempt: int) -> Column:
     """The attempt-th surrogate of an entity's normal form."""
     stream = _stream(key, kind, norm, F.lit(str(attempt)))
+    more = attempt // GROW
+    added = _stream(key, F.lit("added"), kind, norm, F.lit(str(attempt)))
+    letters, digits = (F.concat(F.lit(""), *[F.substring(F.lit(x), _number(added, i, len(x)) + 1, F.lit(1)) for i in range(more)]) for x in (_ALPHABETS[1], _ALPHABETS[0]))
     local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
     top = F.substring_index(domain, ".", -1)
     label = F.substring(domain, F.lit(1), F.char_length(domain) - F.char_length(top) - 1)
-    email = F.concat(_masked(local, stream), F.lit("@"), _masked(label, _stream(key, F.lit("domain"), label)), F.lit("."), top)
+    email = F.concat(F.substring(_masked(local, stream), 1, 64 - more), letters, F.lit("@"), _masked(label, _stream(key, F.lit("domain"), label)), F.lit("."), top)
     ip = F.concat_ws(".", *[(_number(stream, i, 254) + 1).cast("string") for i in range(4)])
     body = F.concat(F.substring(norm, F.lit(1), F.lit(1)), _masked(F.substring(norm, F.lit(2), F.char_length(norm) - 2), stream))
     check = F.concat(body, F.lit("0"))
@@ -113,13 +119,13 @@ def surrogate(kind: Column, norm: Column, key: str, attempt: int) -> Column:
     loose = F.concat(body, _masked(F.substring(norm, F.char_length(norm), F.lit(1)), _stream(key, F.lit("last"), norm, F.lit(str(attempt)))))
     card = F.when(_luhn(norm) == 0, valid).otherwise(loose)
     country = F.substring_index(norm, "/", 1)
-    phone = F.concat(country, F.lit("/"), _masked(F.substring_index(norm, "/", -1), stream))
+    phone = F.concat(country, F.lit("/"), _masked(F.substring_index(norm, "/", -1), stream), digits)
     out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "phone", phone)
     for script in _SYLLABLES:
         own = norm.rlike(r"^\p{IsCyrillic}") if script == "cyrillic" else ~norm.rlike(r"^\p{IsCyrillic}")
-        out = out.when((kind == "surname") & own, _name(stream, "male", script, given=False))
+        out = out.when((kind == "surname") & own, _name(stream, "male", script, given=False, more=more))
         for gender in ("female", "male"):
-            out = out.when((kind == f"given_{gender}") & own, _name(stream, gender, script, given=True))
+            out = out.when((kind == f"given_{gender}") & own, _name(stream, gender, script, given=True, more=more))
     return out.otherwise(_masked(norm, stream))
 
 
@@ -148,8 +154,12 @@ def _laid_out(kind: Column, raw: Column, value: Column) -> Column:
         put = F.when(is_digit, F.substring(digits, state["k"], F.lit(1))).otherwise(c)
         return F.struct((state["k"] + F.when(is_digit, 1).otherwise(0)).alias("k"), F.concat(state["out"], put).alias("out"))
 
-    spaced = F.aggregate(F.split(raw, ""), F.struct(F.lit(1).alias("k"), F.lit("").alias("out")), step)["out"]
-    cased = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(F.substring(raw, i + 1, F.lit(1)).rlike(r"^\p{Lu}$"), F.upper(c)).otherwise(c)), "")
+    spaced = F.aggregate(F.split(raw, ""), F.struct(F.lit(1).alias("k"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(digits, s["k"], F.char_length(digits))))
+
+    def like(value: Column, raw: Column) -> Column:
+        return F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(F.substring(raw, i + 1, F.lit(1)).rlike(r"^\p{Lu}$"), F.upper(c)).otherwise(c)), "")
+
+    cased = F.concat_ws("@", *[like(F.substring_index(value, "@", n), F.substring_index(raw, "@", n)) for n in (1, -1)])
     return F.when(kind == "keep", raw).when(kind.isin("card", "ssn", "phone"), spaced).when(kind == "ip", value).when(kind == "email", cased).otherwise(F.initcap(value))
 
 

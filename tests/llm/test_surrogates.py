@@ -68,3 +68,17 @@ def test_table_keeps_rows_and_clean_texts(spark):
         if r.n_entities == 0:
             assert r.text == before[r.doc_id]
     assert s.pseudonymised(docs.limit(0)).count() == 0
+
+
+def test_full_spaces_grow(spark):
+    names = [("given_male", f"name{i}") for i in range(33_500)]
+    mails = [("email", f"{chr(97 + i)}@example.com") for i in range(26)] + [("email", "._%+-@a.com"), ("email", "._%+-@b.com"), ("email", "." * 64 + "@a.com")]
+    phones = [("phone", f"49/{i:04d}") for i in range(10_000)]
+    want = names + mails + phones
+    got = {(r.kind, r.norm): r.value for r in s.assign(spark.createDataFrame(want, "kind string, norm string")).collect()}
+    assert set(got) == set(want) and len({(k[0], v) for k, v in got.items()}) == len(want)
+    assert not {(k[0], v) for k, v in got.items()} & set(want)
+    assert all(re.fullmatch(s.KINDS["email"], got[x]) for x in mails)
+    out = run(spark, [" ".join(f"{chr(65 + i)}@Example.com" for i in range(26)), "call +49 12 34 now"])
+    assert len(set(out[0].text.split())) == 26 and all(re.fullmatch(r"[A-Z][a-z]*@[A-Z][a-z]{6}\.com", x) for x in out[0].text.split())
+    assert re.fullmatch(r"call \+49 \d\d \d\d now", out[1].text)
