@@ -1,108 +1,145 @@
 """Approximate nearest neighbours by counting collisions in query-aware hashing.
 
-Every vector is projected on a few random lines, and each projection is kept as a sorted array: one hash function,
-one array. A query's bucket is the window of that array centred on the query's own projection, so no grid is fixed
-beforehand; virtual rehashing widens the windows of all arrays together, round after round, without building
-anything anew. A vector that lies in the windows of at least THRESHOLD of the projections is verified, that is,
-its exact inner product is computed. Widening ends when WANTED vectors of a block have been verified and the windows
-are as wide as the last of the k best found so far demands, or when the windows cover everything.
+Every vector is projected on random lines, and each projection is kept as a sorted array: one hash function, one
+array. A query's bucket is the window of that array centred on the query's own projection, so no grid is fixed
+beforehand; virtual rehashing widens the windows of all arrays together, round after round, without building anything
+anew. At radius R a window reaches HALF times R to both sides, so a vector at distance R lies in it with a probability
+known beforehand, the same for every line; a vector that lies in at least as many windows as one at distance R does in
+two of three cases is verified, that is, its exact inner product is computed. Widening ends when R has reached the
+distance of the last vector wanted, or when the windows cover everything.
 
 Largest inner product becomes smallest distance by one more coordinate, sqrt(M^2 - |x|^2), M the largest norm; for a
 query, order by distance is then order by inner product.
 
-Rows are dealt by a hash into blocks of about BLOCK vectors, each with its own sorted arrays, and the stated queries
-go, in chunks of about BLOCK, to every block, so a task holds one block and one chunk; a block returns its k best for
-each query, which are merged. All rows are indexed.
+Rows are dealt by a hash into blocks of about BLOCK vectors, each with its own sorted arrays. A vector is sent to its
+block once; the stated queries are sent to every block and stream past its arrays, so a task holds one block whatever
+the number of queries. As blocks are dealt by a hash, a block has few of a query's k nearest; it looks for as many as
+it has in all but one of a hundred cases (_wanted) and gives all it has verified, at most k. All rows are indexed, all
+stated queries asked of all blocks. The number of lines follows from the share of a block that is looked for: the
+smaller it is, the further the wanted vectors stand out from the rest, and the fewer lines tell them apart.
+
+Counting is linear in a block for each query (as in the published methods of this kind, windows hold a share of every
+array); what it saves is vectors fetched and multiplied: a few in a hundred. With random directions in 64 dimensions,
+where the wanted are hardly nearer than the rest, a plain matrix product is faster than any counting.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without
-an id or of another length than the first usable vector's. Rows that repeat an id are each candidates. A query is not
-its own candidate, by id. An empty table gives an empty result.
+an id or of another length than the most frequent one's. Rows that repeat an id are each candidates. A query is not
+its own candidate, by id. An empty table gives an empty result. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import erf, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-LINES, SEED = 16, 11
+SEED = 11
 BLOCK = 8_192
-#: A vector is verified if it lies in this many of a query's LINES windows.
-THRESHOLD = 10
-#: Windows start with about this share of a block's vectors and widen by GROWTH.
-FIRST_SHARE, GROWTH = 0.05, 1.5
-#: Windows reach this many times the distance of the k-th best. A line's coefficients are standard normal, so a vector
-#: at that distance lies in 3 of 4 windows, and in at least THRESHOLD of LINES with a probability of 0.9; nearer ones more often.
-REACH = 1.15
-#: For each of the k wanted, this many vectors of a block are verified at least.
-WANTED = 4
+#: Half a window's width at radius 1. Coefficients are standard normal: at distance R, four of five vectors are inside.
+HALF = 1.3
+#: A vector at distance R is verified at radius R if its count is at most this many deviations below the expected one.
+SLACK = 0.4
+#: Lines for a whole block of wanted vectors; the number falls with the root of their share.
+LINES, FEWEST, MOST = 5_200, 160, 640
+#: The first radius, as a share of those at which the last queries ended; radii grow by GROWTH.
+FIRST, GROWTH = 0.85, 1.12
 
 
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
-    """key (long), v (array of double): rows that take part."""
+    """id (long), v (array of double): rows that take part."""
     v = F.transform(column, lambda x: x.cast("double"))
     finite = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))) & ~F.isnan(x))
     rows = vectors.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(F.col(key).cast("long").alias("id"), v.alias("v"))
     return rows.where(F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
 
 
+def _wanted(k: int, blocks: int) -> int:
+    """How many of a query's k nearest one of so many blocks has, in 99 of 100 cases (at least 1)."""
+    mean = k / blocks
+    p = total = exp(-mean)
+    n = 0
+    while total < 0.99 and n < k:
+        n += 1
+        p *= mean / n
+        total += p
+    return k if blocks == 1 else max(1, n)
+
+
+def _lines(share: float) -> int:
+    return int(np.clip(LINES * sqrt(min(share, 1)), FEWEST, MOST))
+
+
 class Block:
     """Sorted projections of some vectors on all lines, laid end to end so that one search serves all lines."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, largest: float, lines: np.ndarray):
-        self.ids, self.vectors, self.lines, self.largest = ids, vectors, lines, largest
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, largest: float, wanted: int):
+        n, size = vectors.shape
+        m = _lines(wanted / n)
+        self.ids, self.vectors, self.largest, self.wanted = ids, vectors, largest, wanted
+        self.lines = np.random.default_rng(SEED).standard_normal((size + 1, m))
         extra = np.sqrt(np.maximum(largest**2 - np.einsum("ij,ij->i", vectors, vectors), 0))
-        projected = np.hstack([vectors, extra[:, None]]) @ lines
+        projected = np.hstack([vectors, extra[:, None]]) @ self.lines
         order = np.argsort(projected, axis=0, kind="stable")
         self.order = order.T.ravel().copy()
         values = np.take_along_axis(projected, order, axis=0)
-        self.spread = float((values[-1] - values[0]).max())
-        # a line's values are moved up by more than any window reaches, so lines don't mix
-        self.step = 4 * (self.spread + float(np.abs(projected).max()) + 1) + 4 * float(np.abs(lines).sum(axis=0).max()) * largest
-        self.above = np.arange(lines.shape[1]) * self.step
+        # no window is wider than what holds everything; lines are set apart by more than that, so they don't mix
+        self.all = float(np.abs(projected).max()) + float(np.sqrt((self.lines**2).sum(axis=0)).max()) * largest + 1e-9
+        self.above = np.arange(m) * (4 * self.all)
         self.sorted = (values + self.above).T.ravel().copy()
-        self.ends = np.arange(lines.shape[1]) * len(ids)
+        self.ends = np.arange(m) * n
+        inside = erf(HALF / sqrt(2))
+        self.threshold = max(1, int(m * inside - SLACK * sqrt(m * inside * (1 - inside))))
+        self.start = largest
+        self.asked = self.verified = 0
+
+    def _entries(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How often each vector stands in the ranges a to b of the arrays."""
+        parts = [self.order[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True) if i < j]
+        return np.bincount(np.concatenate(parts), minlength=len(self.ids)) if parts else np.zeros(len(self.ids), np.int64)
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and inner products of the k best of the vectors verified, best first, ties to smaller ids."""
-        n = len(self.ids)
+        n, m = len(self.ids), len(self.ends)
         scale = self.largest / np.sqrt(query @ query)
         centre = np.append(query * scale, 0.0) @ self.lines + self.above  # the query made as long as the longest vector
         low = high = np.clip(np.searchsorted(self.sorted, centre), self.ends, self.ends + n)
-        counts = np.zeros(n, np.int64)
-        taken = np.zeros(n, bool)
-        verified, scores = [], []
-        found, best = 0, -np.inf
-        half = max(1, int(n * FIRST_SHARE / 2))
-        at = np.clip(low + half, self.ends, self.ends + n - 1), np.clip(low - half, self.ends, self.ends + n - 1)
-        width = float(np.median(np.abs(np.stack([self.sorted[at[0]], self.sorted[at[1]]]) - centre))) + 1e-12
+        counts, taken = np.zeros(n, np.int64), np.zeros(n, bool)
+        verified, scores, found, reach = [], [], 0, np.inf
+        radius = self.start * FIRST
         while True:
-            everything = width >= self.spread
-            if everything:
+            width = min(HALF * radius, self.all)
+            bounds = np.searchsorted(self.sorted, np.concatenate([centre - width, centre + width]))
+            left, right = np.minimum(bounds[:m], low), np.maximum(bounds[m:], high)
+            if width >= self.all:
                 left, right = self.ends, self.ends + n
-            else:
-                bounds = np.searchsorted(self.sorted, np.concatenate([centre - width, centre + width]))
-                left, right = np.minimum(bounds[: len(centre)], low), np.maximum(bounds[len(centre) :], high)
-            fresh = [self.order[a:b] for a, b in zip(left.tolist(), low.tolist(), strict=True) if a < b]
-            fresh += [self.order[a:b] for a, b in zip(high.tolist(), right.tolist(), strict=True) if a < b]
+            if int((right - left).sum()) - int((high - low).sum()) <= n * m - int((right - left).sum()):
+                counts += self._entries(left, low) + self._entries(high, right)
+            else:  # fewer entries are outside the windows than new in them
+                counts = m - self._entries(self.ends, left) - self._entries(right, self.ends + n)
             low, high = left, right
-            if fresh:
-                counts += np.bincount(np.concatenate(fresh), minlength=n)
-                new = np.flatnonzero((counts >= THRESHOLD) & ~taken)
-                taken[new] = True
-                new = new[self.ids[new] != query_id]
-                verified.append(new)
-                scores.append(self.vectors[new] @ query)
-                found += len(new)
-                if found >= k:
-                    best = np.partition(np.concatenate(scores), -k)[-k]
-            if everything or found >= WANTED * k and width >= REACH * np.sqrt(max(2 * (self.largest**2 - best * scale), 0)):
+            new = np.flatnonzero((counts >= self.threshold) & ~taken)
+            taken[new] = True
+            self.verified += len(new)
+            new = new[self.ids[new] != query_id]
+            verified.append(new)
+            scores.append(self.vectors[new] @ query)
+            found += len(new)
+            if found >= self.wanted:
+                last = np.partition(np.concatenate(scores), -self.wanted)[-self.wanted]
+                reach = sqrt(max(2 * (self.largest**2 - last * scale), 0))
+            if width >= self.all or radius >= reach:
                 break
-            width *= GROWTH
+            radius = min(radius * GROWTH, max(reach, radius * 1.01))
+        self.asked += 1
+        self.start = 0.9 * self.start + 0.1 * radius
         near, score = np.concatenate(verified), np.concatenate(scores)
-        near = near[score >= best - 1e-9 * abs(best)]
+        if len(near) > k:
+            best = np.partition(score, -k)[-k]
+            near = near[score >= best - 1e-9 * abs(best)]
         score = (self.vectors[near] * query).sum(axis=1)  # equal vectors score equal, wherever they stand
         by = np.lexsort((self.ids[near], -score))[:k]
         return self.ids[near][by], score[by]
@@ -116,29 +153,35 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     size, largest = facts["n"], float(np.sqrt(facts["norm"])) or 1.0
     n_blocks = max(1, -(-facts["rows"] // block))
-    lines = np.random.default_rng(SEED).standard_normal((size + 1, LINES))
-    wanted = wanted.where(F.size("v") == size)
-    n_chunks = max(1, -(-wanted.count() // block))
-    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
-    every_one = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    here = rows.where(F.size("v") == size).withColumn("block", dealt(n_blocks)).withColumn("chunk", every_one(n_chunks)).withColumn("is_query", F.lit(False))
-    there = wanted.withColumn("chunk", dealt(n_chunks)).withColumn("block", every_one(n_blocks)).withColumn("is_query", F.lit(True))
-
-    def search(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id")
-        flat = table["v"].combine_chunks()
-        every = flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-        ids, asks = table["id"].to_numpy(), table["is_query"].to_numpy(zero_copy_only=False)
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if (~asks).any():
-            index = Block(ids[~asks], every[~asks], largest, lines)
-            for q, v in zip(ids[asks].tolist(), every[asks], strict=True):
-                found, score = index.search(q, v, k)
-                out.append((np.full(len(found), q), found, score))
-        q, found, score = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"query_id": q, "vec_id": found, "score": score})
-
-    found = here.unionByName(there).groupBy("block", "chunk").applyInArrow(search, "query_id long, vec_id long, score double")
+    share = _wanted(k, n_blocks)
+    here = rows.where(F.size("v") == size).select(F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("block"), F.lit(False).alias("is_query"), "id", "v")
+    there = wanted.where(F.size("v") == size).select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.lit(True).alias("is_query"), "id", "v")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition's blocks one after another, each with its vectors first and then the queries."""
+        index, at, held_ids, held = None, None, [], []
+        for batch in batches:
+            blocks, asks, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy()
+            every = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (asks[1:] != asks[:-1])) + 1
+            out: list[tuple] = []
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
+                if blocks[a] != at:
+                    index, at, held_ids, held = None, blocks[a], [], []
+                if not asks[a]:
+                    held_ids.append(ids[a:b].copy())
+                    held.append(every[a:b].copy())
+                    continue
+                if held:
+                    index, held_ids, held = Block(np.concatenate(held_ids), np.concatenate(held), largest, share), [], []
+                for q, v in zip(ids[a:b].tolist(), every[a:b], strict=True) if index else ():
+                    found, score = index.search(q, v, k)
+                    out.append((np.full(len(found), q), found, score))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+
+    dealt = here.unionByName(there).repartition(n_blocks, "block").sortWithinPartitions("block", "is_query", "id")
+    found = dealt.mapInArrow(search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
