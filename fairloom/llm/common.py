@@ -20,6 +20,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select([df[f"`{c}`"] for c in df.columns if c.lower() not in low])
 
 
+def unused(name: str, *taken: str) -> str:
+    """name, or name with marks behind it, so that it is none of the names taken (in any letter case)."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def fold(key: Column | str) -> Column:
     """The fifth of the corpus a document belongs to; 0 is held out of training."""
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")) if isinstance(key, str) else key, F.lit(5))

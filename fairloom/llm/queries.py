@@ -135,7 +135,9 @@ SELECT conv_id, n_turns, copies, chat FROM whole WHERE NOT EXISTS (SELECT 1 FROM
     "op10_secret_scans": r"""
 WITH rules(rank, kind, pattern, least) AS (VALUES
   (1, 'assign', '(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 12),
-  (2, 'access', 'AKIA[A-Z0-9]+', 18), (3, 'hex', '[0-9a-f]+', 16)),
+  (2, 'access', 'AKIA[A-Z0-9]+', 18), (3, 'hex', '[0-9a-f]+', 16),
+  (4, 'private_key', '-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)?', 0),
+  (5, 'jwt', 'eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}', 0)),
 doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 parts AS (
   SELECT r, 1 AS rank, regexp_extract_all(text, (SELECT pattern FROM rules WHERE rank = 1)) AS m,
@@ -144,7 +146,9 @@ parts AS (
   UNION ALL SELECT r, 2, regexp_extract_all(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+'),
     string_split_regex(text, 'AKIA[A-Z0-9]+') FROM doc
   UNION ALL SELECT r, 3, regexp_extract_all(text, '[0-9a-f]+'), regexp_extract_all(text, '[0-9a-f]+'),
-    string_split_regex(text, '[0-9a-f]+') FROM doc),
+    string_split_regex(text, '[0-9a-f]+') FROM doc
+  UNION ALL SELECT r, rank, regexp_extract_all(text, (SELECT pattern FROM rules WHERE rank = 4)) AS m, m, string_split_regex(text, (SELECT pattern FROM rules WHERE rank = 4)) FROM doc, (SELECT 4 AS rank)
+  UNION ALL SELECT r, rank, regexp_extract_all(text, (SELECT pattern FROM rules WHERE rank = 5)) AS m, m, string_split_regex(text, (SELECT pattern FROM rules WHERE rank = 5)) FROM doc, (SELECT 5 AS rank)),
 each AS (SELECT r, rank, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS m, unnest(v) AS v, unnest(g[1:len(m)]) AS g FROM parts),
 placed AS (
   SELECT r, rank, length(v) AS n, sum(length(g) + length(m)) OVER (PARTITION BY r, rank ORDER BY i) AS stop, length(m) AS size FROM each),
@@ -152,9 +156,10 @@ kept AS (
   SELECT r, rank, kind, (stop - size)::BIGINT AS s, stop::BIGINT AS e FROM placed JOIN rules USING (rank) WHERE n >= least),
 found AS (
   SELECT r, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS c,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank <= 3) AS base,
     string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans FROM kept GROUP BY r)
 SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex,
-  sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM doc LEFT JOIN found USING (r)
 """,
 }

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -35,16 +36,45 @@ def test_report_matches_plain_regex(spark):
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(w[2] == k for w in want) for k in ("assign", "access", "hex")]
 
 
-def test_ledger_scans_only_what_is_new(spark):
+def test_more_rules_and_columns_that_clash(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIabc+/=\nAAAA\n-----END RSA PRIVATE KEY-----"
+    web = "eyJhbGciOiJIUz.eyJzdWIiOiIx.SflKxwRJSMeK"
+    texts = {1: f"a {key} b", 2: f"\u00e9 {web}0 -----BEGIN PRIVATE KEY----- !", 3: "none"}
+    schema = "doc_id long, text string, blob string, hit_spans int, path int, body int, spans int, hit_blob int, blob_ int"
+    docs = spark.createDataFrame([(i, t, "x", 1, 2, 3, 4, 5, 6) for i, t in texts.items()], schema)
+    spans = {r.doc_id: r.spans for r in secrets.secrets_report(docs).collect()}
+    assert spans == {1: f"private_key:2:{2 + len(key)}", 2: f"jwt:2:{3 + len(web)},private_key:{4 + len(web)}:{31 + len(web)}", 3: ""}
+    out = {r.doc_id: r for r in secrets.redact(docs).collect()}
+    assert out[1].text == "a [SECRET] b" and out[2].text == "\u00e9 [SECRET] [SECRET] !"
+    assert all(tuple(r)[2:] == ("x", 1, 2, 3, 4, 5, 6) for r in out.values())
+
+
+def test_ledger_scans_only_what_is_new(spark, tmp_path):
     docs = spark.createDataFrame([(1, TEXTS[4]), (2, TEXTS[4]), (3, None)], "doc_id long, text string")
-    ledger = secrets.update_ledger(docs).cache()
-    assert ledger.count() == 2 * len(secrets.RULES)
-    more = spark.createDataFrame([(4, TEXTS[4]), (5, "AKIA" + "C" * 16)], "doc_id long, text string")
-    assert secrets.scan_blobs(more, ledger).count() == len(secrets.RULES)
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    ledger.update(docs)
+    assert ledger.scans().count() == 2 * len(secrets.ALL_RULES)
+    ledger.update(docs)
+    assert ledger.scans().count() == 2 * len(secrets.ALL_RULES)
+    more = spark.createDataFrame([(4, TEXTS[4]), (5, "AKIA" + "C" * 16), (1, "nothing now")], "doc_id long, text string")
+    assert secrets.scan_blobs(more, ledger.scans(), secrets.ALL_RULES).count() == 2 * len(secrets.ALL_RULES)
     newer = (*secrets.RULES[:2], secrets.Rule("hex", r"[0-9a-f]{20,}", version=2))
-    assert {r.rule_version for r in secrets.scan_blobs(docs, ledger, newer).collect()} == {2}
+    assert {r.rule_version for r in secrets.scan_blobs(docs, ledger.scans(), newer).collect()} == {2}
     by_path = {r.doc_id: r.spans for r in secrets.secrets_by_path(more, ledger).collect()}
     assert [s.kind for s in by_path[4]] == ["assign", "hex"] and [s.kind for s in by_path[5]] == ["access"]
+    # old versions stay: path 1 had the secret once
+    assert sorted(r.path for r in ledger.findings_by_path().collect()) == ["1", "2", "4", "5"]
+    assert secrets.redact(docs, ledger=ledger).where("text like '%[SECRET]%'").count() == 2
+
+
+def test_time_is_linear_in_the_matches(spark):
+    text = "0123456789abcdef " * 200_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.perf_counter()
+    row = secrets.secrets_report(docs).first()
+    assert row.n_hex == 200_000 and row.spans.endswith(f"hex:{17 * 199_999}:{17 * 199_999 + 16}")
+    assert secrets.redact(docs).first().text == "[SECRET] " * 200_000
+    assert time.perf_counter() - began < 60
 
 
 def test_redaction_and_empty_table(spark):
