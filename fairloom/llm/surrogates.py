@@ -12,7 +12,8 @@ All of it is DataFrame operations. Only distinct entities are shuffled for the c
 documents that hold an entity. Without the secret key surrogates can't be traced back.
 
 Defined results: null and empty texts stay as they are. Null ids and repeated rows are handled like others. Columns
-stay as they were but for the text, and n_chars where there is one. An empty table gives an empty result.
+stay as they were, whatever their names, but for the text, n_entities, and n_chars where there is one. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairloom.llm.common import without
-from fairloom.operators.storage import cut
+from fairloom.llm.common import unused, without
+from fairloom.operators.storage import cut, written
 
 #: For tests and demonstrations; give your own.
 KEY = "change-me"
@@ -164,44 +165,52 @@ def _laid_out(kind: Column, raw: Column, value: Column) -> Column:
 
 
 def assign(entities: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
-    """kind, norm, value: different for different entities of a kind, and never an entity itself."""
+    """kind, norm, value: different for different entities of a kind, and never an entity itself.
+
+    What has no surrogate of its own after all rounds (all addresses there are being in use, say) gets a keyed
+    placeholder without its kind's format: kind and 32 hex digits.
+    """
     entities = cut(entities.select("kind", "norm").distinct())
     real = entities.select("kind", F.col("norm").alias("value"))
-    pending, settled = entities, None
+    pending, settled = entities, entities.select("kind", "norm", F.col("norm").alias("value")).limit(0)
     for attempt in range(rounds):
         tried = pending.withColumn("value", surrogate(F.col("kind"), F.col("norm"), key, attempt))
-        taken = real if settled is None else real.union(settled.select("kind", "value"))
-        free = tried.join(taken, ["kind", "value"], "left_anti")
+        free = tried.join(real.union(settled.select("kind", "value")), ["kind", "value"], "left_anti")
         won = cut(free.groupBy("kind", "value").agg(F.min("norm").alias("norm")).select("kind", "norm", "value"))
-        settled = won if settled is None else settled.unionByName(won)
+        settled = settled.unionByName(won)
         pending = cut(pending.join(won, ["kind", "norm"], "left_anti"))
         if pending.isEmpty():
             return settled
-    raise RuntimeError(f"some entities have no surrogate of their own after {rounds} rounds")
+    digits = F.substring(_stream(key, F.lit("placeholder"), F.col("kind"), F.col("norm")), 1, 32)
+    return settled.unionByName(pending.withColumn("value", F.concat("kind", F.lit("-"), digits)))
 
 
 def pseudonymised(docs: DataFrame, secret: str = KEY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with surrogates in the text, and n_entities."""
-    columns = docs.columns
-    base = without(docs, "n_entities", "matches_", "hash_")
-    kept = base.columns
+    """docs with surrogates in the text, and n_entities.
+
+    PATTERN goes over the corpus once, and again over the texts that hold an entity; in between, rows and what was
+    found in them are a table in the shared folder.
+    """
+    base = without(docs, "n_entities")
+    kept = [F.col(f"`{c}`") for c in base.columns]
+    matches, hashed, k, h, words = (unused(c, *docs.columns) for c in ("matches_", "hash_", "k_", "h_", "words_"))
     body = F.col(text)
     entities = F.when(body.rlike(NEEDED[0]) | body.rlike(NEEDED[1]), F.regexp_extract_all(body, F.lit(PATTERN), F.lit(0)))
-    found = base.withColumn("matches_", entities).withColumn("hash_", F.xxhash64(text))
-    clean = found.where((F.size("matches_") == 0) | F.col("matches_").isNull())
-    holding = found.where(F.size("matches_") > 0)
-    each = holding.select(F.col(key).alias("k"), F.col("hash_").alias("h"), F.posexplode("matches_").alias("i", "match")).withColumn("of", kind_of(F.col("match")))
+    found = written(base.withColumns({matches: F.coalesce(entities, F.array().cast("array<string>")), hashed: F.xxhash64(text)}))
+    clean, holding = found.where(F.size(matches) == 0), found.where(F.size(matches) > 0)
+    each = holding.select(F.col(key).alias("k"), F.col(hashed).alias("h"), F.posexplode(matches).alias("i", "match")).withColumn("of", kind_of(F.col("match")))
     each = each.select("k", "h", "i", F.posexplode(_parts(F.col("match"), F.col("of"))).alias("j", "part")).select("k", "h", "i", "j", F.col("part.kind").alias("kind"), F.col("part.raw").alias("raw"))
     each = cut(each.withColumn("norm", _normal(F.col("kind"), F.col("raw"))).distinct())
     values = assign(each.where("kind <> 'keep'"), secret)
     put = each.join(values, ["kind", "norm"], "left").withColumn("put", _laid_out(F.col("kind"), F.col("raw"), F.col("value")))
-    whole = F.array_sort(F.collect_list(F.struct("i", "j", "put")))
-    lists = put.groupBy("k", "h").agg(whole.alias("puts"))
-    joined = holding.join(lists.hint("shuffle_hash"), holding[key].eqNullSafe(lists["k"]) & (holding["hash_"] == lists["h"]))
-    gaps = F.split(F.col(text), PATTERN, -1)
-    words = F.transform(F.sequence(F.lit(0), F.size("matches_") - 1), lambda i: F.array_join(F.transform(F.filter("puts", lambda p: p["i"] == i), lambda p: p["put"]), " "))
-    new = F.concat(F.array_join(F.transform(F.arrays_zip(F.slice("gaps_", 1, F.size("matches_")).alias("g"), F.col("words_").alias("w")), lambda z: F.concat(z["g"], z["w"])), ""), F.element_at("gaps_", -1))
-    changed = joined.withColumns({"gaps_": gaps, "words_": words, "n_entities": F.size("matches_").cast("long")}).withColumn(text, new)
-    if "n_chars" in columns:
+    ordered = lambda place, what: F.transform(F.array_sort(F.collect_list(F.struct(place, what))), lambda x: x[what])
+    whole = put.groupBy("k", "h", "i").agg(F.array_join(ordered("j", "put"), " ").alias("word"))
+    lists = whole.groupBy(F.col("k").alias(k), F.col("h").alias(h)).agg(ordered("i", "word").alias(words))
+    joined = holding.join(lists.hint("shuffle_hash"), holding[key].eqNullSafe(lists[k]) & (holding[hashed] == lists[h]))
+    # a text is its gaps and the new words in turn; the last gap has no word behind it
+    pairs = F.arrays_zip(F.split(body, PATTERN, -1).alias("g"), F.col(words).alias("w"))
+    new = F.array_join(F.transform(pairs, lambda z: F.concat(z["g"], F.coalesce(z["w"], F.lit("")))), "")
+    changed = joined.withColumn(text, new)
+    if "n_chars" in docs.columns:
         changed = changed.withColumn("n_chars", F.char_length(text).cast(docs.schema["n_chars"].dataType))
-    return clean.withColumn("n_entities", F.lit(0).cast("long")).select(*kept, "n_entities").unionByName(changed.select(*kept, "n_entities"))
+    return clean.select(*kept, F.lit(0).cast("long").alias("n_entities")).unionByName(changed.select(*kept, F.size(matches).cast("long").alias("n_entities")))

@@ -82,3 +82,36 @@ def test_full_spaces_grow(spark):
     out = run(spark, [" ".join(f"{chr(65 + i)}@Example.com" for i in range(26)), "call +49 12 34 now"])
     assert len(set(out[0].text.split())) == 26 and all(re.fullmatch(r"[A-Z][a-z]*@[A-Z][a-z]{6}\.com", x) for x in out[0].text.split())
     assert re.fullmatch(r"call \+49 \d\d \d\d now", out[1].text)
+
+
+def test_columns_that_clash_and_what_cannot_be_masked(spark):
+    schema = "doc_id long, text string, k string, h string, puts int, matches_ int, hash_ int, words_ int, gaps_ int, norm int, value int"
+    text = "write _@-.com or -@-.com, " + " ".join(f"a{i}@b.org" for i in range(2_000))
+    df = spark.createDataFrame([(1, text, "k", "h", 1, 2, 3, 4, 5, 6, 7), (None, "_@-.com", "k", "h", 1, 2, 3, 4, 5, 6, 7)], schema)
+    out = {r.doc_id: r for r in s.pseudonymised(df).collect()}
+    assert all(tuple(r)[2:11] == ("k", "h", 1, 2, 3, 4, 5, 6, 7) for r in out.values())
+    found = re.findall(r"\S+@\S+", out[1].text.replace(",", ""))
+    assert len(found) == len(set(found)) == 2_002 == out[1].n_entities and found[0] == out[None].text != "_@-.com"
+
+
+def test_rounds_that_end_too_soon_leave_placeholders(spark):
+    want = [("ip", f"10.0.0.{i}") for i in range(50)]
+    got = s.assign(spark.createDataFrame(want, "kind string, norm string"), rounds=0).collect()
+    assert len({r.value for r in got}) == 50 and all(re.fullmatch(r"ip-[0-9a-f]{32}", r.value) for r in got)
+
+
+def test_replacement_matches_plain_python(spark):
+    """Mail addresses in lower case and IP addresses: the text around them and their order stay, one value each."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null")
+    rows = docs.select("doc_id", "text").collect()
+    simple = re.compile(s.KINDS["email"] + "|" + s.KINDS["ip"])
+    entities = sorted({("ip" if "@" not in x else "email", x.lower()) for r in rows for x in simple.findall(r.text)})
+    assert entities
+    out = {r.doc_id: r.text for r in s.pseudonymised(docs.select("doc_id", "text")).collect()}
+    seen = {}
+    for r in rows:
+        a, b = simple.findall(r.text), simple.findall(out[r.doc_id])
+        assert len(a) == len(b)
+        for x, y in zip(a, b, strict=True):
+            assert seen.setdefault(x.lower(), y.lower()) == y.lower()
+    assert len(set(seen.values())) == len(seen) and not set(seen.values()) & set(seen)
