@@ -1,14 +1,21 @@
 """Toxicity by multiple-instance learning: sentences are scored, noisy-or makes them a document's score.
 
-p(document) = 1 - (1 - leak) * product over its sentences of (1 - p(sentence)), p(sentence) = sigmoid(BIAS + sum of
-the weights of its words and word stems). Weights and leak are learned from document labels alone, by gradient steps on the
-likelihood of the labels; the leak stands for labels no sentence explains. Sentences of at least SENTENCE probability
-are the offending ones. Training sees a bounded sample: at most TRAIN_ROWS labelled documents of each class, those
-with the smallest hashes of their ids, weighted back to the classes' shares. Scoring reads every whole text once,
-without a shuffle.
+p(document) = 1 - (1 - leak) * product over its sentences of (1 - p(sentence)), p(sentence) = sigmoid(bias + sum of
+the weights of its different words and word stems). Weights, bias and leak are learned from document labels alone, by
+gradient steps on the likelihood of the labels; the leak stands for labels no sentence explains. Weights start at zero
+and stay at or above it: a word may speak for toxicity, and its absence for nothing. A first run with an absolute
+penalty leaves most words at zero; a second one without, over the words that are left, undoes what the penalty took
+from them. Sentences of at least SENTENCE probability are the offending ones.
+
+Training sees a bounded sample: at most TRAIN_ROWS labelled documents of each class and at most TRAIN_BYTES of their
+texts together, those with the smallest hashes of their ids, weighted back to the classes' shares. Texts are taken
+whole or not at all. Only hashes of words with some support in toxic documents are weighed. Scoring reads every whole
+text once, without a shuffle.
 
 Defined results: a null or wordless text scores the leak. Null labels aren't learned from; documents without an id
-are scored but never learned from. Without usable labels no word counts and every score is next to 0. Repeated rows are scored alike.
+are scored but never learned from. Of rows that repeat an id at most REPEATS are learned from. Without usable labels
+no word counts and every score is next to 0. Repeated rows are scored alike. Columns of the input that clash with
+result columns are replaced, others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,22 +25,23 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fairloom.llm.common import blocks, flat_bytes, fold, mix, split_words, without, word_hashes
+from fairloom.llm.common import blocks, flat_bytes, fold, mix, split_words, unused, without, word_hashes
+from fairloom.operators.storage import cut
 
-TRAIN_ROWS = 2_000
-#: A sentence without telling words; so low that very long clean documents stay clean.
-BIAS = -14.0
+TRAIN_ROWS, TRAIN_BYTES, REPEATS = 2_000, 16_000_000, 4
 SENTENCE, DOCUMENT = 0.5, 0.5
-#: Words are weighed if they are in this many toxic documents that differ, and in a share of them that is this many
-#: deviations above their share of the clean ones.
-SUPPORT, DEVIATIONS = 8, 6.0
-STEPS, RATE = 300, 0.25
-#: A word that is weighed tells by itself (weight PRIOR) until labels speak against it; STIFF is how firmly that is held.
-PRIOR, STIFF = 16.0, 0.01
+#: Words are weighed if they are in this many toxic documents that differ.
+SUPPORT = 5
+#: Steps and the penalty of the first run, steps of the second, and the size of the first steps.
+STEPS, PENALTY, AGAIN, RATE = 300, 1.6, 400, 0.1
+#: A toxic document counts as much as this many clean ones: a miss costs more than a false alarm.
+TOXIC_COST = 2.0
+#: Where bias and the leak's logit start.
+BIAS, LEAK = -6.0, -4.0
 
 STEM, _STEM_SALT = 4, np.uint64(0x5DEECE66D1234567)
 
@@ -62,93 +70,128 @@ class Model:
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted hashes of the words that count
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     leak: float = 0.0
+    bias: float = -20.0
 
     def __post_init__(self) -> None:
         self.seen = np.zeros(1 << 16, bool)
         self.seen[(self.keys >> np.uint64(48)).astype(np.int64)] = True
 
-    def word_weights(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and weights of the words that count."""
+    def words_that_count(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Their places, and which of the keys they are."""
         at = np.flatnonzero(self.seen[(hashes >> np.uint64(48)).astype(np.int64)])
         if not len(self.keys):
-            return at[:0], np.zeros(0)
+            return at[:0], at[:0]
         k = np.minimum(np.searchsorted(self.keys, hashes[at]), len(self.keys) - 1)
         same = self.keys[k] == hashes[at]
-        return at[same], self.weights[k[same]]
+        return at[same], k[same]
 
     def sentences(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Text, logit, first byte, end byte of every sentence with a word that counts; all texts' sentence counts."""
         words, stems, of, sentence, starts, ends = sentence_words(texts)
         first = np.flatnonzero(np.diff(sentence, prepend=-1))
         number = np.cumsum(np.diff(sentence, prepend=-1) != 0) - 1
-        at, weight = (np.concatenate(x) for x in zip(self.word_weights(words), self.word_weights(stems), strict=True))
-        total = np.bincount(number[at], weight, minlength=len(first))
-        hit = np.unique(number[at])
+        (at, k), (at_stem, k_stem) = self.words_that_count(words), self.words_that_count(stems)
+        width = max(1, len(self.keys))
+        once = np.unique(number[np.concatenate([at, at_stem])] * width + np.concatenate([k, k_stem]))
+        total = np.bincount(once // width, self.weights[once % width], minlength=len(first)) if len(once) else np.zeros(len(first))
+        hit = np.unique(once // width)
         last = np.append(first[1:], len(words))[hit] - 1 if len(hit) else hit
-        return of[first[hit]], BIAS + total[hit], starts[first[hit]], ends[last], np.bincount(of[first], minlength=len(texts))
+        return of[first[hit]], self.bias + total[hit], starts[first[hit]], ends[last], np.bincount(of[first], minlength=len(texts))
 
     def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Probability and number of offending sentences of every text."""
         of, logit, _, _, counts = self.sentences(texts)
         plain = counts - np.bincount(of, minlength=len(texts))
-        sure = np.bincount(of, np.logaddexp(0, logit), minlength=len(texts)) + plain * np.logaddexp(0, BIAS)
+        sure = np.bincount(of, np.logaddexp(0, logit), minlength=len(texts)) + plain * np.logaddexp(0, self.bias)
         offending = np.bincount(of, logit >= np.log(SENTENCE / (1 - SENTENCE)), minlength=len(texts))
         return np.clip(1 - (1 - self.leak) * np.exp(-sure), 0, 1), offending.astype(np.int64)
 
 
-def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, class_weights: np.ndarray) -> Model:
-    """docs: hashes and sentence numbers of the words and stems of each; class_weights: how many rows a row of class 0, 1 stands for."""
-    if not len(labels) or labels.min() == labels.max():
-        return Model(leak=float(labels[0]) * 0.99 if len(labels) else 0.0)
-    weight = class_weights[labels]
+def different(docs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All hashes in order, and for each different hash of each document its number and its document; and every
+    document's kind. Near copies are of one kind: they share the smallest hash of their rarer words, documents that
+    differ seldom do."""
     words = [np.unique(h) for h, _ in docs]
     flat = np.concatenate(words)
     row = np.repeat(np.arange(len(docs)), [len(x) for x in words])
     keys, number = np.unique(flat, return_inverse=True)
-    # near copies count once: they share the smallest hash of their rarer words, documents that differ seldom do
     common = np.bincount(number) > max(10, len(docs) // 50)
     mixed = mix(flat)
     mixed[common[number]] = np.iinfo(np.uint64).max
     cuts = np.searchsorted(row, np.arange(len(docs) + 1))
     least = [mixed[a:b].min() if a < b else 0 for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     kind = np.unique([x if x < np.iinfo(np.uint64).max else np.uint64(i) for i, x in enumerate(least)], return_inverse=True)[1]
-    n_kinds = int(kind.max()) + 1
-    seen = np.unique((number * n_kinds + kind[row]) * 2 + labels[row])
-    toxic, clean = (np.bincount(seen[seen % 2 == k] // 2 // n_kinds, minlength=len(keys)) for k in (1, 0))
-    n_toxic, n_clean = (len(np.unique(kind[labels == k])) for k in (1, 0))
-    pooled = (toxic + clean) / (n_toxic + n_clean)
-    over = (toxic / n_toxic - clean / n_clean) / np.sqrt(pooled * (1 - pooled) * (1 / n_toxic + 1 / n_clean) + 1e-12)
-    chosen = np.flatnonzero((toxic >= SUPPORT) & (over >= DEVIATIONS))
-    keys = keys[chosen]
-    # the words that count, by sentence with at least one of them
-    word, sentence, owner, n_sentences, plain = [], [], [], 0, np.zeros(len(docs))
+    return keys, number, row, kind
+
+
+@dataclass
+class Bags:
+    """Sentences of documents as pairs (sentence, word); sentences without a word that is weighed are only counted."""
+
+    word: np.ndarray
+    sentence: np.ndarray
+    owner: np.ndarray  # the document of each sentence
+    plain: np.ndarray  # how many other sentences each document has
+    labels: np.ndarray
+    scale: np.ndarray
+
+    def gradient(self, weights: np.ndarray, bias: float, leak: float) -> np.ndarray:
+        """Of the labels' negative log-likelihood, by weights, bias and leak (its logit)."""
+        logit = bias + np.bincount(self.sentence, weights[self.word], minlength=len(self.owner))
+        sure = np.bincount(self.owner, np.logaddexp(0, logit), minlength=len(self.labels)) + self.plain * np.logaddexp(0, bias) + np.logaddexp(0, leak)
+        by_sure = self.scale * np.where(self.labels == 1, -1 / np.expm1(np.clip(sure, 1e-9, 500)), 1.0)
+        by_logit = by_sure[self.owner] / (1 + np.exp(-logit))
+        by_bias = by_logit.sum() + (by_sure * self.plain).sum() / (1 + np.exp(-bias))
+        return np.concatenate([np.bincount(self.word, by_logit[self.sentence], minlength=len(weights)), [by_bias, by_sure.sum() / (1 + np.exp(-leak))]])
+
+    def descend(self, params: np.ndarray, steps: int, penalty: float) -> np.ndarray:
+        """Adam with steps that shrink to nothing; weights are pulled towards zero by penalty and stop there."""
+        m, v = np.zeros_like(params), np.zeros_like(params)
+        for step in range(1, steps + 1):
+            grad = self.gradient(params[:-2], params[-2], params[-1])
+            m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+            pace = RATE * min(1, 2 * (1 - step / (steps + 1))) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            params = params - pace * m / (1 - 0.9**step)
+            params[:-2] = np.maximum(params[:-2] - pace[:-2] * penalty, 0)
+        return params
+
+    def only(self, words: np.ndarray) -> Bags:
+        """The same with some of the words."""
+        there = words[self.word]
+        used, sentence = np.unique(self.sentence[there], return_inverse=True)
+        rest = np.bincount(self.owner, minlength=len(self.labels)) - np.bincount(self.owner[used], minlength=len(self.labels))
+        return Bags((np.cumsum(words) - 1)[self.word[there]], sentence, self.owner[used], self.plain + rest, self.labels, self.scale)
+
+
+def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, class_weights: np.ndarray) -> Model:
+    """docs: hashes and sentence numbers of the words and stems of each; class_weights: how many rows a row of class 0, 1 stands for."""
+    if not len(labels) or labels.min() == labels.max():
+        return Model(leak=float(labels[0]) * 0.99 if len(labels) else 0.0)
+    keys, number, row, kind = different(docs)
+    toxic = labels[row] == 1
+    kinds = int(kind.max()) + 1
+    support = np.bincount(np.unique(number[toxic] * kinds + kind[row[toxic]]) // kinds, minlength=len(keys))
+    keys = keys[support >= SUPPORT]
+    word, sentence, owner, plain, count = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(docs)), 0
     for i, (hashes, numbers) in enumerate(docs):
         k = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
         same = keys[k] == hashes if len(keys) else np.zeros(len(hashes), bool)
         own, back = np.unique(numbers[same], return_inverse=True)
-        word.append(k[same])
-        sentence.append(back + n_sentences)
+        once = np.unique((back + count) * max(len(keys), 1) + k[same])
+        word.append(once % max(len(keys), 1))
+        sentence.append(once // max(len(keys), 1))
         owner.append(np.full(len(own), i))
-        n_sentences += len(own)
+        count += len(own)
         plain[i] = len(np.unique(numbers)) - len(own)
-    word, sentence, owner = np.concatenate(word), np.concatenate(sentence).astype(np.int64), np.concatenate(owner).astype(np.int64)
-    scale = weight / weight.mean()
-    params = np.concatenate([np.full(len(keys), PRIOR), [-4.0]])  # weights and the leak's logit
-    m, v = np.zeros_like(params), np.zeros_like(params)
-    for step in range(1, STEPS + 1):
-        logit = BIAS + np.bincount(sentence, params[word], minlength=n_sentences)
-        p = 1 / (1 + np.exp(-logit))
-        sure = np.bincount(owner, np.logaddexp(0, logit), minlength=len(docs)) + plain * np.logaddexp(0, BIAS) + np.logaddexp(0, params[-1])
-        by_sure = scale * np.where(labels == 1, -1 / np.expm1(np.clip(sure, 1e-9, 500)), 1.0)
-        grad = np.zeros_like(params)
-        grad[:-1] = np.bincount(word, (by_sure[owner] * p)[sentence], minlength=len(keys)) + STIFF * (params[:-1] - PRIOR)
-        grad[-1] = by_sure.sum() / (1 + np.exp(-params[-1]))
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        params -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    return Model(keys, params[:-1], float(1 / (1 + np.exp(-params[-1]))))
-
-
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
+    weight = (class_weights * [1, TOXIC_COST])[labels] / np.bincount(kind)[kind]  # near copies count as one
+    bags = Bags(np.concatenate(word), np.concatenate(sentence), np.concatenate(owner), plain, labels, weight / weight.mean())
+    params = bags.descend(np.concatenate([np.zeros(len(keys)), [BIAS, LEAK]]), STEPS, PENALTY)
+    left = params[:-2] > 0
+    params = bags.only(left).descend(params[np.append(left, [True, True])], AGAIN, 0.0)
+    return Model(keys[left], params[:-2], float(1 / (1 + np.exp(-params[-1]))), float(params[-2]))
+
+
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS, size: int = TRAIN_BYTES) -> Model:
     """A model from the labelled documents outside the held-out fold."""
     usable = labels.select(F.col(key).alias("label_key"), F.col(label).cast("int").alias("label"))
     usable = usable.where(F.col("label").isin(0, 1) & (fold("label_key") != 0))
@@ -157,7 +200,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return Model()
     order = F.xxhash64("label_key")
     picked = [usable.where(F.col("label") == k).orderBy(order, "label_key").limit(rows) for k in (0, 1)]
-    sample = docs.select(key, text).join(F.broadcast(picked[0].union(picked[1])), F.col(key) == F.col("label_key"))
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    sample = texts.join(F.broadcast(picked[0].union(picked[1])), F.col("key") == F.col("label_key"))  # rows * 2 short rows at most
+    nth = F.row_number().over(Window.partitionBy("label_key", "label").orderBy(F.octet_length("text"), "text"))
+    sample = cut(sample.withColumn("order", order).withColumn("nth", nth).where(F.col("nth") <= REPEATS))
+    bytes_so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("label").orderBy("order", "label_key", "nth"))
+    sample = sample.withColumn("sum", bytes_so_far).where(F.col("sum") <= size // 2)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,11 +215,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 yield pa.RecordBatch.from_arrays([
                     pa.array([words[s:e].tobytes() + stems[s:e].tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
                     pa.array([(sentence[s:e] - sentence[s : s + 1]).astype(np.int32).tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
-                    batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a),
-                ], names=["hashes", "sentences", "label", "order"])
+                    *(batch.column(c).slice(a, b - a) for c in (1, 2, 3)),
+                ], names=["hashes", "sentences", "label", "order", "nth"])
 
-    rows_ = sample.select(text, "label", order.alias("order")).mapInArrow(features, "hashes binary, sentences binary, label int, order long")
-    got = rows_.toArrow().sort_by("order")
+    rows_ = sample.select("text", "label", "order", "nth").mapInArrow(features, "hashes binary, sentences binary, label int, order long, nth int")
+    got = rows_.toArrow().sort_by([("order", "ascending"), ("label", "ascending"), ("nth", "ascending")])
     held = [(np.frombuffer(h.as_py(), np.uint64), np.tile(np.frombuffer(s.as_py(), np.int32), 2)) for h, s in zip(got["hashes"], got["sentences"], strict=True)]
     y = got["label"].to_numpy().astype(np.int64)
     used = np.bincount(y, minlength=2)
@@ -188,9 +236,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(p), pa.array(n)], ["score", "n_offending"])
 
     base = without(docs, "score", "n_offending", "predicted")
-    kept = base.columns
+    kept, found = [F.col(f"`{c}`") for c in base.columns], unused("scored_", *base.columns)
     scored = scored.asNondeterministic()  # else a filter on the score would run it twice
-    out = base.withColumn("scored_", scored(F.col(text))).select(*kept, "scored_.score", "scored_.n_offending")
+    out = base.withColumn(found, scored(F.col(text))).select(*kept, f"{found}.score", f"{found}.n_offending")
     return out.withColumn("predicted", (F.col("score") >= DOCUMENT).cast("int"))
 
 
@@ -223,4 +271,6 @@ def toxicity_report(docs: DataFrame, labels: DataFrame, key: str = "doc_id") ->
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
     """docs without those predicted to be toxic."""
-    return score(docs, train(docs, labels, key)).where("predicted = 0").select(docs.columns)
+    mine = unused("keep_", *docs.columns)
+    only = score(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(mine), F.col("text")), train(docs, labels, key))
+    return only.where("predicted = 0").select(f"{mine}.*")
