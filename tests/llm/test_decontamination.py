@@ -79,3 +79,25 @@ def test_spans_are_cut_out(spark):
     assert sorted(out) == [1, 3, 4]
     assert out[1].text.startswith("Before, it stands – ! After it the rest") and out[1].n_chars == len(out[1].text)
     assert out[4].text == "clean words" and out[3].text is None
+
+
+def test_blocks_and_columns_that_clash(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(400)]
+    line = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(i, line(rng.choice([4, 9, 10, 25, 300]))) for i in range(60)]
+    docs = [(i, f"{line(20)} {items[i % 60][1][: rng.randint(20, 900)]} {line(5)}. {items[(i * 7) % 60][1]}", 0) for i in range(80)]
+    docs += [(i, docs[0][1], 0) for i in range(80, 120)]  # many copies of one text
+    check(spark, docs, items, block_words=500)
+    df = spark.createDataFrame([(i, t, "a", 1, 2, 3, 4, 5, 6, len(t)) for i, t, _ in docs], "doc_id long, text string, row_ string, n_hit int, n_words int, hits_ int, clean_ int, h1_ int, found_ int, n_chars int")
+    it = spark.createDataFrame(items, "item_id long, text string")
+    one, several = (sorted(tuple(r) for r in d.decontaminate(df, it, max_coverage=0.9, block_words=b).collect()) for b in (d.BLOCK_WORDS, 500))
+    assert one == several and one and all(r[2:9] == ("a", 1, 2, 3, 4, 5, 6) and r[9] == len(r[1]) for r in one)
+
+
+def test_a_large_benchmark_keeps_one_python_step(spark):
+    items = spark.range(3_000).selectExpr("id as item_id", "array_join(transform(sequence(1, 100), i -> concat('x', hash(id, i))), ' ') as text")
+    docs = items.where("item_id % 100 = 0").selectExpr("item_id as doc_id", "concat('before ', substring(text, 1, 500), ' behind') as text")
+    found = d.match_items(docs, items)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") <= 2
+    assert all(r.hit_items == [str(r.doc_id)] and r.n_hit >= 30 for r in found.collect())
