@@ -3,27 +3,30 @@
 The network reads windows of WINDOW bytes in both directions and gives every byte position a distribution over the
 languages; a document's distribution is the mean over its letter positions. Every byte of every text is read: a text
 is cut into windows side by side, states start afresh in each. Training is plain numpy: backpropagation through time
-on a bounded sample, SAMPLE_DOCS documents of each language (those with the smallest hashes of their ids) and
-SAMPLE_WINDOWS windows spread over each. Texts are scored where they are read; nothing is shuffled.
+on a bounded sample, at most SAMPLE_DOCS documents and SAMPLE_BYTES bytes of each language (those with the smallest
+hashes of their ids, each whole or not at all), of which every step draws some windows, at any place of the texts.
+Texts are scored where they are read; nothing is shuffled.
 
 Defined results: `und` with score 0 for null texts, texts without a letter, and when there was nothing to learn
-from. Documents without language or id are scored but not learned from. Repeated rows are scored alike.
+from. Documents without language or id are scored but not learned from; of rows that repeat an id, one for each
+language. Repeated rows are scored alike. Columns that clash with result columns are replaced, others stay, whatever
+their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairloom.llm.common import blocks, flat_bytes, fold, without
+from fairloom.llm.common import blocks, flat_bytes, fold, unused, without
+from fairloom.operators.storage import cut
 
 HIDDEN, WINDOW, BATCH = 8, 128, 2048
-SAMPLE_DOCS, SAMPLE_WINDOWS, TRAIN_WINDOW = 400, 6, 48
+SAMPLE_DOCS, SAMPLE_BYTES, TRAIN_WINDOW = 400, 2_000_000, 48
 STEPS, TRAIN_BATCH, RATE, SEED = 260, 192, 0.03, 7
 UNKNOWN = "und"
 
@@ -97,8 +100,18 @@ class Network:
         return total / np.maximum(letters, 1)[:, None]
 
 
-def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str]) -> Network:
-    """windows (n, TRAIN_WINDOW) of folded bytes, each with the number of its language; every byte is a target."""
+def drawn(texts: list[np.ndarray], picked: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A window of TRAIN_WINDOW bytes at any place of each text picked; short texts are filled with zeros."""
+    out = np.zeros((len(picked), TRAIN_WINDOW), np.uint8)
+    for row, i in enumerate(picked.tolist()):
+        at = int(rng.integers(0, max(1, len(texts[i]) - TRAIN_WINDOW + 1)))
+        part = texts[i][at : at + TRAIN_WINDOW]
+        out[row, : len(part)] = part
+    return out
+
+
+def fit(texts: list[np.ndarray], labels: np.ndarray, languages: list[str]) -> Network:
+    """texts of folded bytes, each with the number of its language; every byte of the windows drawn is a target."""
     rng = np.random.default_rng(SEED)
     k, n_lang = HIDDEN, len(languages)
     params = {}
@@ -109,11 +122,11 @@ def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str]) -> Networ
     params["c"] = np.zeros((n_lang, 1), np.float32)
     m = {p: np.zeros_like(x) for p, x in params.items()}
     s = {p: np.zeros_like(x) for p, x in params.items()}
-    width = windows.shape[1]
+    width = TRAIN_WINDOW
     rows_of = [np.flatnonzero(labels == i) for i in range(n_lang)]
     for step in range(1, STEPS + 1):
         picked = np.concatenate([rng.choice(r, max(1, TRAIN_BATCH // n_lang)) for r in rows_of])
-        x, y = windows[picked].T, labels[picked]
+        x, y = drawn(texts, picked, rng).T, labels[picked]
         n = len(picked)
         grad = {p: np.zeros_like(v) for p, v in params.items()}
         states, kept = np.zeros((2, width, k, n), np.float32), [[None] * width, [None] * width]
@@ -161,35 +174,22 @@ def fit(windows: np.ndarray, labels: np.ndarray, languages: list[str]) -> Networ
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Network | None:
     """A network from documents outside the held-out fold; None if none has a language."""
-    usable = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (fold(key) != 0))
-    languages = sorted(r[0] for r in docs.where(F.col(lang).isNotNull() & (fold(key) != 0)).select(lang).distinct().collect())
     order = F.xxhash64(key)
-    picked = None
-    for one in languages:
-        best = docs.where((F.col(lang) == one) & (fold(key) != 0)).select(F.col(key).alias("picked"), order.alias("o")).orderBy("o", "picked").limit(SAMPLE_DOCS)
-        picked = best if picked is None else picked.union(best)
-    if picked is None:
-        return None
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts, row = [], []
-            for i, body in enumerate(batch.column(0)):
-                raw = _FOLD[np.frombuffer(body.as_py().encode(), np.uint8)]
-                last = max(0, len(raw) - TRAIN_WINDOW)
-                for b in sorted({last * j // max(1, SAMPLE_WINDOWS - 1) for j in range(SAMPLE_WINDOWS)}):
-                    parts.append(raw[b : b + TRAIN_WINDOW].tobytes().ljust(TRAIN_WINDOW, b"\0"))
-                    row.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary()), *(batch.column(c).take(pa.array(row, pa.int64())) for c in (1, 2))], names=["window", "lang", "o"])
-
-    sample = usable.join(F.broadcast(picked.select("picked").distinct()), F.col(key) == F.col("picked"))
-    got = sample.select(text, lang, order.alias("o")).mapInArrow(cut, "window binary, lang string, o long").toArrow()
-    got = got.sort_by([("o", "ascending"), ("window", "ascending")])
+    usable = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (fold(key) != 0))
+    usable = usable.select(F.col(text).alias("text"), F.col(lang).alias("lang"), order.alias("o"), F.xxhash64(text).alias("h"), F.octet_length(text).alias("n"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("o", "h"))
+    best = usable.select("lang", "o", "h", "n").withColumn("nth", nth).where(F.col("nth") <= SAMPLE_DOCS)  # cut short before the shuffle
+    best = cut(best.groupBy("lang", "o").agg(F.min(F.struct("h", "n")).alias("x")).select("lang", "o", "x.h", "x.n"))
+    so_far = F.sum("n").over(Window.partitionBy("lang").orderBy("o"))
+    best = best.withColumn("sum", so_far).where(F.col("sum") <= SAMPLE_BYTES).select("lang", "o", "h")
+    rows = usable.join(F.broadcast(best), ["lang", "o", "h"]).select("lang", "o", "text")  # SAMPLE_DOCS short rows a language
+    got = rows.toArrow().group_by(["lang", "o"]).aggregate([("text", "min")]).sort_by([("lang", "ascending"), ("o", "ascending")])
     if not got.num_rows:
         return None
     known = sorted(set(got["lang"].to_pylist()))
-    windows = np.frombuffer(b"".join(got["window"].to_pylist()), np.uint8).reshape(-1, TRAIN_WINDOW)
-    return fit(windows, np.array([known.index(x) for x in got["lang"].to_pylist()]), known)
+    texts = [_FOLD[np.frombuffer(x.encode(), np.uint8)] for x in got["text_min"].to_pylist()]
+    labels = np.array([known.index(x) for x in got["lang"].to_pylist()])
+    return fit(texts, labels, known)
 
 
 def identify(docs: DataFrame, network: Network | None, text: str = "text") -> DataFrame:
@@ -207,8 +207,10 @@ def identify(docs: DataFrame, network: Network | None, text: str = "text") -> Da
         return pa.StructArray.from_arrays([names.take(pa.array(best)), pa.array(np.clip(p[np.arange(len(p)), best], 0, 1))], ["best", "p"])
 
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    return base.withColumn("read_", read(F.col(text))).select(
-        *base.columns, F.when(has_letter, F.col("read_.best")).otherwise(UNKNOWN).alias("lang_pred"), F.when(has_letter, F.col("read_.p")).otherwise(0.0).alias("score"),
+    found = unused("read_", *base.columns)
+    return base.withColumn(found, read(F.col(text))).select(
+        *[F.col(f"`{c}`") for c in base.columns],
+        F.when(has_letter, F.col(f"{found}.best")).otherwise(UNKNOWN).alias("lang_pred"), F.when(has_letter, F.col(f"{found}.p")).otherwise(0.0).alias("score"),
     )
 
 

@@ -8,11 +8,13 @@ unpacked pieces if these fill its place and the gap more tightly. A group wastes
 thousands, and neither the driver nor one task ever sees all lengths.
 
 Defined results: a null text is an empty one; every document ends with the separator id, so an empty text is one
-piece of length 1. Repeated rows and null ids are packed like others. An empty table gives an empty result.
+piece of length 1. Repeated rows and null ids are packed like others. An empty table gives an empty result. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import string
 import struct
@@ -108,11 +110,28 @@ class ChunkIds(dict):
         return ids + (self.words.get(tail) or self.words.setdefault(tail, self.plain(tail)))
 
 
+# Fixed value: how a tokenizer says that it takes words, digits and runs of marks apart and drops white space.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def works_by_words(config: dict) -> bool:
+    """If the configuration is: NFC, white space as a blank, lower case; then pieces as in WORDS, bytes as letters; BPE
+    within a piece; nothing added around a text."""
+    steps = (config.get("normalizer") or {}).get("normalizers", [])
+    parts = (config.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
+        and [x["type"] for x in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"] == {"Regex": WORDS} and parts[0]["invert"] and parts[0]["behavior"] == "Removed"
+        and not parts[1]["use_regex"] and not parts[1]["add_prefix_space"] and config["model"]["type"] == "BPE" and not config["model"].get("dropout")
+        and config.get("post_processor") is None and all(x["special"] for x in config.get("added_tokens", []))
+    )
+
+
 class ChunkTokenizer:
     """Ids of whole texts, put together from the remembered ids of their chunks.
 
-    Valid for tokenizers that lower-case, drop white space and treat letters and marks apart, as the word-level BPE of
-    this module does; any other file's texts are encoded as they are. chunked says which of the two it is.
+    Valid for tokenizers that lower-case, drop white space and treat letters and marks apart; chunked says if the file
+    declares just that (see works_by_words). Any other file's texts are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -121,8 +140,7 @@ class ChunkTokenizer:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.ids = ChunkIds(self.tokenizer)
-        probe = "Some words,  with marks!? \u00c9t\u00e9 x"
-        self.chunked = b"".join(map(self.ids.__getitem__, probe.encode().split())) == self.ids.plain(probe)
+        self.chunked = works_by_words(json.loads(self.tokenizer.to_str()))
 
     def forget(self) -> None:
         """Workers live on after a task; what they remembered should not."""
@@ -259,7 +277,9 @@ def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: st
     groups = max(1, -(-made.where(F.col("length") < size).count() // group))
     # the number a full piece's sequence gets is made of its partition and row; group numbers stay below 0
     full = made.where(F.col("length") == size).select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    rest = made.where(F.col("length") < size).withColumn("bin_group", F.pmod(F.xxhash64(key, "ids_crc32", "piece"), F.lit(groups)))
+    # by the row's place in the checkpoint, so that rows that repeat are dealt like others
+    rest = made.where(F.col("length") < size).withColumn("place", F.monotonically_increasing_id())
+    rest = rest.select(*made.columns, F.pmod(F.xxhash64("place"), F.lit(groups)).alias("bin_group"))
     columns = made.columns
     schema = T.StructType([*made.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 

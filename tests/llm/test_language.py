@@ -43,11 +43,53 @@ def test_backpropagation_lowers_the_loss():
     rng = np.random.default_rng(1)
     windows = np.concatenate([rng.integers(97, 105, (60, 20)), rng.integers(103, 111, (60, 20))]).astype(np.uint8)
     labels = np.repeat([0, 1], 60)
-    network = language.fit(windows, labels, ["x", "y"])
+    network = language.fit(list(windows), labels, ["x", "y"])
     p = network.positions(windows.T).mean(axis=1).T
     assert (p.argmax(axis=1) == labels).mean() > 0.98
 
 
+def test_columns_that_clash_and_repeated_ids(spark):
+    rows = [(i, "the house and of it" if i % 2 else "der und das ist ein", "en" if i % 2 else "de", 1, 2, 3, 4, 5) for i in range(40)]
+    df = spark.createDataFrame(rows + rows[1:2] * 60, "doc_id long, text string, lang string, picked int, o int, read_ int, h int, score int")
+    out = language.identify(df, language.train(df)).collect()
+    assert len(out) == 100 and all((r.picked, r.o, r.read_, r.h) == (1, 2, 3, 4) and r.lang_pred == r.lang for r in out)
+    assert language.language_report(df).count() == 100
+
+
+def plain_document(network, text):
+    """The network's distribution for a text, byte by byte in plain Python."""
+    raw = text.encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
+    total, letters = np.zeros(len(network.languages)), 0
+    for a in range(0, len(raw), language.WINDOW):
+        part = raw[a : a + language.WINDOW].ljust(language.WINDOW, b"\0")
+        states = []
+        for way in (0, 1):
+            h, seen = np.zeros(language.HIDDEN), {}
+            for t in range(language.WINDOW) if way == 0 else reversed(range(language.WINDOW)):
+                x, s = network.embed[way][:, part[t]].astype(float), network.recur[way].astype(float) @ h
+                k = language.HIDDEN
+                z, r = (np.clip(0.2 * (x[i * k : (i + 1) * k] + s[i * k : (i + 1) * k]) + 0.5, 0, 1) for i in (0, 1))
+                new = np.tanh(x[2 * k :] + r * s[2 * k :])
+                h = z * h + (1 - z) * new
+                seen[t] = h
+            states.append(seen)
+        for t, c in enumerate(raw[a : a + language.WINDOW]):
+            if 97 <= c <= 122 or c >= 128:
+                logits = network.out.astype(float) @ np.concatenate([states[0][t], states[1][t]]) + network.bias[:, 0]
+                p = np.exp(logits - logits.max())
+                total += p / p.sum()
+                letters += 1
+    return total / max(letters, 1)
+
+
+def test_report_matches_plain_python(spark, docs, network):
+    some = docs.orderBy("doc_id").limit(12)
+    for r in language.identify(some.select("doc_id", "text"), network).collect():
+        if r.text and len(r.text) < 3_000:
+            p = plain_document(network, r.text)
+            assert r.lang_pred == network.languages[int(p.argmax())] and abs(r.score - p.max()) < 1e-3
+
+
 def test_odd_rows(spark, docs, network):
     odd = spark.createDataFrame([(1, None, "en", 1), (2, "", None, 2), (3, "12 - 3!", "en", 3), (None, "the and of", None, 4), (3, "12 - 3!", "en", 3)], SCHEMA)
     got = {(r.doc_id, r.lang_pred, r.score == 0) for r in language.identify(odd, network).collect()}

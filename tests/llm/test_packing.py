@@ -76,6 +76,9 @@ def test_repeats_nulls_and_empty_table(spark):
     rows = packing.pack(df).collect()
     assert sorted(r.offset for r in rows)[0] == 0 and len(rows) == 4 and len({r.sequence_id for r in rows}) == 1
     assert packing.pack(df.limit(0)).count() == 0
+    same = spark.createDataFrame([(None, "")] * 2000, "doc_id long, text string").selectExpr("doc_id", "text", "1 as bin_group", "2 as place", "3 as sequence_id")
+    rows = packing.pack(same, group=100).collect()
+    assert len(rows) == 2000 and len({-r.sequence_id >> 32 for r in rows}) == 20  # rows that repeat are dealt to all groups
 
 
 def test_two_replace_the_smallest():
