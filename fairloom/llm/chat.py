@@ -9,8 +9,9 @@ hashes leaves the maximal conversations. Of equal ones the smallest id stays. On
 Turns are never gathered before rendering, and what hot first turns have in common is made distinct before the join.
 
 Defined results: rows are ordered by turn (nulls first), then role and text; rows that repeat wholly count once. A
-null role or text is an empty one. Rows without a conversation id form one conversation with a null id. An empty
-table gives an empty result. Other columns are ignored.
+null role or text is an empty one. A row without a conversation id belongs to no other: it is a conversation of one
+turn, with a null id. An empty table gives an empty result. Other columns are ignored, whatever their names. A rendered
+conversation is one row, so it must fit in one.
 """
 
 from __future__ import annotations
@@ -21,36 +22,39 @@ from pyspark.sql import functions as F
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
+def _turns(turns: DataFrame, key: str, order: str) -> DataFrame:
+    """conv, alone (tells rows without a conversation apart), turn, role, text; each different row once."""
+    role, text = (F.coalesce(c, F.lit("")) for c in ("role", "text"))
+    alone = F.when(F.col(key).isNull(), F.sha2(F.concat_ws("\u001f", F.coalesce(F.col(order).cast("string"), F.lit("")), role, text), 256))
+    return turns.select(F.col(key).alias("conv"), F.coalesce(alone, F.lit("")).alias("alone"), F.col(order).alias("turn"), role.alias("role"), text.alias("text")).distinct()
+
+
 def prefix_hashes(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """conv, place (from 1), role, text, is_last, and hash: the rolling hash of the turns up to this one."""
-    rows = turns.select(
-        F.col(key).alias("conv"), F.col(order).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-    ).distinct()
-    in_order = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
+    """conv, alone, place (from 1), role, text, is_last, and hash: the rolling hash of the turns up to this one."""
+    in_order = Window.partitionBy("conv", "alone").orderBy(F.col("turn").asc_nulls_first(), "role", "text")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("place", F.row_number().over(in_order)).withColumn("is_last", F.lead("role").over(in_order).isNull())
+    rows = _turns(turns, key, order).withColumn("place", F.row_number().over(in_order)).withColumn("is_last", F.lead("role").over(in_order).isNull())
     one, two = (F.xxhash64(F.lit(salt), "place", "role", "text").cast("decimal(20,0)") for salt in ("turn", "check"))
     return rows.withColumn("hash", F.struct(F.sum(one).over(so_far).alias("a"), F.sum(two).over(so_far).alias("b")))
 
 
 def maximal(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
-    """conv and n_turns of the conversations that are no beginning of a longer one; copies is how many equal ones it
-    stands for, itself included."""
+    """conv, alone and n_turns of the conversations that are no beginning of a longer one; copies is how many equal ones
+    it stands for, itself included. Of equal ones the smallest id stays, one without id only if none has one."""
     steps = prefix_hashes(turns, key, order)
-    whole = steps.where("is_last").groupBy("place", "hash").agg(F.min("conv").alias("conv"), F.count("*").alias("copies"))
+    first = F.min(F.struct(F.col("conv").isNull().alias("unnamed"), "conv", "alone"))
+    whole = steps.where("is_last").groupBy("place", "hash").agg(first.alias("first"), F.count("*").alias("copies"))
     passed = steps.where(~F.col("is_last")).select("place", "hash").distinct()
     left = whole.join(passed, ["place", "hash"], "left_anti")
-    return left.select("conv", F.col("place").cast("long").alias("n_turns"), "copies")
+    return left.select("first.conv", "first.alone", F.col("place").cast("long").alias("n_turns"), "copies")
 
 
 def formatted(turns: DataFrame, key: str = "conv_id", order: str = "turn", opening: str = OPEN, closing: str = CLOSE) -> DataFrame:
     """One row for each maximal conversation: key, n_turns, copies, chat."""
-    keep = maximal(turns, key, order).withColumnRenamed("conv", "kept")
-    rows = turns.select(
-        F.col(key).alias("conv"), F.col(order).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-    )
-    rows = rows.join(keep.select("kept", "n_turns", "copies"), rows["conv"].eqNullSafe(keep["kept"])).distinct()
+    keep = maximal(turns, key, order).select(F.col("conv").alias("kept"), F.col("alone").alias("kept_alone"), "n_turns", "copies")
+    rows = _turns(turns, key, order)
+    rows = rows.join(keep, rows["conv"].eqNullSafe(keep["kept"]) & (rows["alone"] == keep["kept_alone"]))
     said = F.array_sort(F.collect_list(F.struct(F.col("turn").isNotNull().alias("known"), "turn", "role", "text")))
     line = F.transform("said", lambda t: F.concat(F.lit(opening), t["role"], F.lit("\n"), t["text"], F.lit(closing)))
-    gathered = rows.groupBy("conv", "n_turns", "copies").agg(said.alias("said"))
+    gathered = rows.groupBy("conv", "alone", "n_turns", "copies").agg(said.alias("said"))
     return gathered.select(F.col("conv").alias(key), "n_turns", "copies", F.array_join(line, "\n").alias("chat"))

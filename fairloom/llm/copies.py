@@ -1,8 +1,10 @@
 """Edited copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, exactly verified.
 
-Candidates come from MinHash: 28 bands of six minima, so a pair at similarity 0.8 shares a band but for one in 5,000
-(one in 500,000 at 0.85). Of every band's texts each links to the smallest; the components of these links hold all
-pairs that share a band. Each component's texts then meet in one task, which compares shingle sets: from every text the
+Candidates come from two sources. One is the trie join of SimHash fingerprints, over the same shingles; it finds what
+differs in a few bits, but texts at similarity 0.8 differ in up to 14 of 64, where a trie prunes nothing and blocks of
+equal bits are too short to deal it out by. So the other is MinHash: 28 bands of six minima, so a pair at similarity 0.8 shares a band but for one in 5,000
+(one in 500,000 at 0.85). Of every band's texts each links to the smallest; the components of all
+these links hold all pairs that share a band or differ in a few bits. Each component's texts then meet in one task, which compares shingle sets: from every text the
 similarities to all that isn't grouped yet, so a dense group costs little more than its own size. A component with
 more than CHUNK_TEXTS texts or CHUNK_SHINGLES shingles is dealt as pairs of chunks, so no task holds more than two
 chunks and still every pair meets.
@@ -13,7 +15,7 @@ case; a text of fewer than five words is one shingle, all wordless and null text
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +86,20 @@ def bands(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def fingerprints(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """SimHashes: a bit is 1 if it is set in over half of a text's shingles."""
+    ends = np.cumsum(counts)
+    heads = ends - counts
+    out = np.zeros(len(counts), np.uint64)
+    for i in range(len(counts)):
+        ones = np.zeros(64, np.int64)
+        for a in range(heads[i], ends[i], STRETCH):
+            part = values[a : min(a + STRETCH, ends[i])]
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[i] = np.packbits(2 * ones > counts[i], bitorder="little").view(np.uint64)[0]
+    return out
+
+
 def groups_of(texts: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """For every text the first text that can be reached over pairs of near texts."""
     values, counts = shingles(texts)
@@ -119,8 +135,8 @@ def groups_of(texts: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def with_bands(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, leaf (a hash of the text), n (shingles) and bands of every row."""
-    schema = texts.select(key, "leaf").schema.add("n", T.LongType()).add("bands", T.ArrayType(T.LongType()))
+    """key, leaf (a hash of the text), n (shingles), fp (the fingerprint) and bands of every row."""
+    schema = texts.select(key, "leaf").schema.add("n", T.LongType()).add("fp", T.LongType()).add("bands", T.ArrayType(T.LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,20 +145,28 @@ def with_bands(texts: DataFrame, key: str, text: str) -> DataFrame:
                 values, counts = shingles(part.column(text))
                 flat = pa.array(bands(values, counts).view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * BANDS), flat)
-                yield pa.RecordBatch.from_arrays([part.column(key), part.column("leaf"), pa.array(counts, pa.int64()), lists], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(key), part.column("leaf"), pa.array(counts, pa.int64()), pa.array(fingerprints(values, counts).view(np.int64)), lists], names=schema.names)
 
     return texts.mapInArrow(run, schema)
 
 
-def copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """key and leaf of every row, and for every leaf (F.xxhash64 of the text) first_key and root, the group's name."""
-    texts = docs.select(key, text, F.xxhash64(text).alias("leaf"))
-    marked = cut(with_bands(texts, key, text))
-    leaves = cut(marked.groupBy("leaf").agg(F.min(key).alias("first_key"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+def copy_groups(docs: DataFrame, near_links: Callable[[DataFrame], DataFrame], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """For every leaf (F.xxhash64 of a text) first_key, the smallest key that has it, and root, the group's name.
+
+    near_links: links a, b between fingerprints (column fp) that differ in a few bits.
+    """
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("leaf"))
+    key, text = "key", "text"
+    marked = with_bands(texts, key, text)
+    leaves = cut(marked.groupBy("leaf").agg(F.min(key).alias("first_key"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    of_fp = cut(leaves.groupBy("fp").agg(F.min("leaf").alias("lead")))
+    same = leaves.join(of_fp, "fp").where("leaf <> lead").select(F.col("leaf").alias("a"), F.col("lead").alias("b"))
+    ends = [of_fp.select(F.col("fp").alias(side), F.col("lead").alias(f"lead_{side}")) for side in "ab"]
+    close = near_links(of_fp.select("fp")).join(ends[0], "a").join(ends[1], "b").select(F.col("lead_a").alias("a"), F.col("lead_b").alias("b"))
     rows = leaves.select("leaf", F.explode("bands").alias("band"))
     lowest = rows.groupBy("band").agg(F.min("leaf").alias("low"), F.max("leaf").alias("high")).where("low < high").select("band", "low")
-    links = rows.join(lowest, "band").where("leaf <> low").select(F.col("leaf").alias("a"), F.col("low").alias("b")).distinct()
-    members = connected_components(cut(links))
+    links = rows.join(lowest, "band").where("leaf <> low").select(F.col("leaf").alias("a"), F.col("low").alias("b"))
+    members = connected_components(cut(links.union(same).union(close).distinct()))
     members = cut(leaves.join(members, leaves["leaf"] == members["node"]).select(F.col("leaf").alias("node"), "component", "first_key", "n"))
     chunks = F.greatest(F.ceil(F.count("*") / CHUNK_TEXTS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int")
     large = cut(members.groupBy("component").agg(chunks.alias("chunks")).where("chunks > 1").withColumnRenamed("component", "large"))
@@ -165,4 +189,4 @@ def copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tup
 
     near = connected_components(cut(met.groupBy("component", "i", "j").applyInArrow(verify, "a long, b long")))
     named = leaves.join(near, leaves["leaf"] == near["node"], "left").select("leaf", "first_key", F.coalesce("component", "leaf").alias("root"))
-    return marked.select(key, "leaf"), cut(named)
+    return cut(named)

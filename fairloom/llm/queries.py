@@ -127,7 +127,7 @@ chats AS (
   SELECT conv_id, count(*) AS n_turns,
     string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>', chr(10) ORDER BY turn NULLS FIRST, role, text) AS chat,
     list(len(role) || ':' || role || len(text) || ':' || text ORDER BY turn NULLS FIRST, role, text) AS said
-  FROM turns GROUP BY conv_id),
+  FROM turns GROUP BY conv_id, CASE WHEN conv_id IS NULL THEN concat_ws(chr(31), coalesce(turn::VARCHAR, ''), role, text) END),
 begun AS (SELECT DISTINCT array_to_string(said[1:i], chr(31)) AS s, i FROM (SELECT said, unnest(range(1, len(said))) AS i FROM chats)),
 whole AS (SELECT array_to_string(said, chr(31)) AS s, n_turns, chat, min(conv_id) AS conv_id, count(*) AS copies FROM chats GROUP BY ALL)
 SELECT conv_id, n_turns, copies, chat FROM whole WHERE NOT EXISTS (SELECT 1 FROM begun WHERE begun.s = whole.s AND begun.i = whole.n_turns)

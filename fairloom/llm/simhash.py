@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fairloom.llm.common import without
+from fairloom.llm.common import unused, without
 from fairloom.llm.copies import copy_groups
 from fairloom.operators.graph import connected_components
 from fairloom.operators.storage import cut
@@ -242,13 +242,17 @@ def component_report(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document with the smallest key of every group of edited copies (see copies); of rows that repeat a key, one.
+    """Of every group of edited copies (see copies) the document with the smallest key.
 
-    Rows without a key stay: they can't be named as anyone's copy.
+    Where a key repeats, each different text of it is a document; of equal rows one stays. Rows without a key stay: they
+    can't be named as anyone's copy.
     """
-    rows, named = copy_groups(docs.where(F.col(key).isNotNull()), key, text)
-    kept = named.groupBy("root").agg(F.min("first_key").alias("kept_key")).select("kept_key").distinct()
-    out = docs.join(kept.hint("shuffle_hash"), docs[key] == kept["kept_key"], "left_semi")
-    if not rows.groupBy(key).count().where("count > 1").isEmpty():
-        out = out.dropDuplicates([key])
-    return out.unionByName(docs.where(F.col(key).isNull()))
+    named = copy_groups(docs.where(F.col(key).isNotNull()), near_links, key, text)
+    kept = named.groupBy("root").agg(F.min(F.struct("first_key", "leaf")).alias("k")).select(F.col("k.first_key").alias("kept_key"), F.col("k.leaf").alias("kept_leaf"))
+    leaf = unused("leaf_", *docs.columns)
+    rows = docs.withColumn(leaf, F.xxhash64(text))
+    out = rows.join(kept.hint("shuffle_hash"), (rows[key] == kept["kept_key"]) & (rows[leaf] == kept["kept_leaf"]), "left_semi")
+    if not docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty():
+        out = out.dropDuplicates([key, leaf])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*columns).unionByName(docs.where(F.col(key).isNull()))

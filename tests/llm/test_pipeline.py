@@ -5,9 +5,9 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from test_copies import plain_kept
 from test_decontamination import words as bench_words
 from test_secrets import plain as plain_secrets
-from test_simhash import plain_components, plain_fingerprint
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -56,8 +56,8 @@ def test_pipeline_matches_plain_stages(spark):
     rows = {r.doc_id: r.text for r in docs.collect()}
     scores, _ = model.scores(pa.array(rows.values()))
     rows = {k: t for (k, t), p in zip(rows.items(), scores, strict=True) if p < 0.5}
-    groups = plain_components(list(rows), [plain_fingerprint(t) for t in rows.values()])
-    rows = {k: t for k, t in rows.items() if groups[k] == k}
+    kept = plain_kept(list(rows.items()))  # the stage's own rule: five-word shingles, similarity 0.8
+    rows = {k: t for k, t in rows.items() if k in kept}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     rows = {k: plain_clean(t, items) for k, t in rows.items()}
     rows = {k: t for k, (t, hit, n) in rows.items() if hit <= n / 2}
@@ -80,3 +80,11 @@ def test_stages_keep_columns_and_take_odd_rows(spark):
             docs = stage(spark, docs, SF)
             assert docs.columns == odd.columns
         corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+
+
+def test_an_id_with_several_texts_keeps_them(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, leaf_ int, blob int, row_ int"
+    docs = spark.createDataFrame([(1, "alpha beta", "en", "s", 10, 1, 2, 3), (2, "gamma delta", "en", "s", 11, 1, 2, 3), (2, "alpha beta", "en", "s", 10, 1, 2, 3), (2, "gamma delta", "en", "s", 11, 1, 2, 3)], schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+    assert sorted(tuple(r) for r in docs.collect()) == [(1, "alpha beta", "en", "s", 10, 1, 2, 3), (2, "gamma delta", "en", "s", 11, 1, 2, 3)]
