@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,15 @@ from pyspark.sql import functions as F
 BLOCK_BYTES = 4_000_000
 
 
+def release() -> None:
+    """Give freed memory back to the system. Python workers live on between tasks and stages; what one held at its peak
+    would otherwise count against the executor to the end."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns whose names (in any letter case) an operator is about to add."""
     low = {n.lower() for n in names}

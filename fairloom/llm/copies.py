@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fairloom.llm.common import NOT_SPACE, blocks, flat_bytes, mix, split_words, word_hashes
+from fairloom.llm.common import NOT_SPACE, blocks, flat_bytes, mix, release, split_words, word_hashes
 from fairloom.operators.graph import connected_components
 from fairloom.operators.storage import cut
 
@@ -31,7 +31,7 @@ WIDTH = 5
 BANDS, ROWS = 28, 6
 #: Similarity of at least NEAR[0] / NEAR[1].
 NEAR = (4, 5)
-CHUNK_TEXTS, CHUNK_SHINGLES = 2_000, 2_000_000
+CHUNK_TEXTS, CHUNK_SHINGLES = 2_000, 500_000
 #: Shingles whose minima are worked out together.
 STRETCH = 1 << 15
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -140,12 +140,13 @@ def with_bands(texts: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in blocks(batch.column(text)):
+            for a, b in blocks(batch.column(text), 2_000_000):
                 part = batch.slice(a, b - a)
                 values, counts = shingles(part.column(text))
                 flat = pa.array(bands(values, counts).view(np.int64).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(counts) + 1, dtype=np.int32) * BANDS), flat)
                 yield pa.RecordBatch.from_arrays([part.column(key), part.column("leaf"), pa.array(counts, pa.int64()), pa.array(fingerprints(values, counts).view(np.int64)), lists], names=schema.names)
+        release()
 
     return texts.mapInArrow(run, schema)
 
@@ -185,6 +186,7 @@ def copy_groups(docs: DataFrame, near_links: Callable[[DataFrame], DataFrame], k
         leaf = got.column("leaf").to_numpy()
         root = groups_of(got.column("text"))
         moved = np.flatnonzero(leaf[root] != leaf)
+        release()
         return pa.table({"a": leaf[moved], "b": leaf[root[moved]]})
 
     near = connected_components(cut(met.groupBy("component", "i", "j").applyInArrow(verify, "a long, b long")))

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fairloom.llm.common import release
 from fairloom.operators.storage import cut
 
 SEQUENCE, SEPARATOR = 2048, 0
@@ -190,6 +191,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 names=[key, "piece", "start", "length", "ids_crc32"],
             )
         coder.forget()
+        release()
 
     return docs.select(key, text).mapInArrow(run, schema)
 

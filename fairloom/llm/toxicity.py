@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fairloom.llm.common import blocks, flat_bytes, fold, mix, split_words, unused, without, word_hashes
+from fairloom.llm.common import blocks, flat_bytes, fold, mix, release, split_words, unused, without, word_hashes
 from fairloom.operators.storage import cut
 
 TRAIN_ROWS, TRAIN_BYTES, REPEATS = 2_000, 16_000_000, 4
@@ -209,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in blocks(batch.column(0)):
+            for a, b in blocks(batch.column(0), 1_000_000):
                 words, stems, of, sentence, _, _ = sentence_words(batch.column(0).slice(a, b - a))
                 cuts = np.searchsorted(of, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays([
@@ -217,6 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                     pa.array([(sentence[s:e] - sentence[s : s + 1]).astype(np.int32).tobytes() for s, e in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
                     *(batch.column(c).slice(a, b - a) for c in (1, 2, 3)),
                 ], names=["hashes", "sentences", "label", "order", "nth"])
+        release()
 
     rows_ = sample.select("text", "label", "order", "nth").mapInArrow(features, "hashes binary, sentences binary, label int, order long, nth int")
     got = rows_.toArrow().sort_by([("order", "ascending"), ("label", "ascending"), ("nth", "ascending")])
@@ -233,6 +234,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def scored(texts: pa.Array) -> pa.Array:
         parts = [model.scores(texts.slice(a, b - a)) for a, b in blocks(texts, 1_000_000)]
         p, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0), np.zeros(0, np.int64))
+        release()
         return pa.StructArray.from_arrays([pa.array(p), pa.array(n)], ["score", "n_offending"])
 
     base = without(docs, "score", "n_offending", "predicted")
