@@ -164,7 +164,8 @@ class Bags:
 
 
 def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, class_weights: np.ndarray) -> Model:
-    """docs: hashes and sentence numbers of the words and stems of each; class_weights: how many rows a row of class 0, 1 stands for."""
+    """docs: hashes and sentence numbers of the words and stems of each; class_weights: how many rows a row of class 0, 1 stands for.
+    Empties docs on the way."""
     if not len(labels) or labels.min() == labels.max():
         return Model(leak=float(labels[0]) * 0.99 if len(labels) else 0.0)
     keys, number, row, kind = different(docs)
@@ -172,19 +173,23 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, class_wei
     kinds = int(kind.max()) + 1
     support = np.bincount(np.unique(number[toxic] * kinds + kind[row[toxic]]) // kinds, minlength=len(keys))
     keys = keys[support >= SUPPORT]
-    word, sentence, owner, plain, count = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.zeros(len(docs)), 0
+    del number, row, toxic
+    word, sentence, owner, plain, count = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], np.zeros(len(docs)), 0
     for i, (hashes, numbers) in enumerate(docs):
         k = np.minimum(np.searchsorted(keys, hashes), max(len(keys) - 1, 0))
         same = keys[k] == hashes if len(keys) else np.zeros(len(hashes), bool)
         own, back = np.unique(numbers[same], return_inverse=True)
         once = np.unique((back + count) * max(len(keys), 1) + k[same])
-        word.append(once % max(len(keys), 1))
-        sentence.append(once // max(len(keys), 1))
+        word.append((once % max(len(keys), 1)).astype(np.int32))
+        sentence.append((once // max(len(keys), 1)).astype(np.int32))
         owner.append(np.full(len(own), i))
         count += len(own)
         plain[i] = len(np.unique(numbers)) - len(own)
     weight = (class_weights * [1, TOXIC_COST])[labels] / np.bincount(kind)[kind]  # near copies count as one
-    bags = Bags(np.concatenate(word), np.concatenate(sentence), np.concatenate(owner), plain, labels, weight / weight.mean())
+    word, sentence, owner = np.concatenate(word), np.concatenate(sentence), np.concatenate(owner)
+    docs.clear()  # what is left is in the bags
+    release()
+    bags = Bags(word, sentence, owner, plain, labels, weight / weight.mean())
     params = bags.descend(np.concatenate([np.zeros(len(keys)), [BIAS, LEAK]]), STEPS, PENALTY)
     left = params[:-2] > 0
     params = bags.only(left).descend(params[np.append(left, [True, True])], AGAIN, 0.0)
@@ -224,7 +229,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     held = [(np.frombuffer(h.as_py(), np.uint64), np.tile(np.frombuffer(s.as_py(), np.int32), 2)) for h, s in zip(got["hashes"], got["sentences"], strict=True)]
     y = got["label"].to_numpy().astype(np.int64)
     used = np.bincount(y, minlength=2)
-    return fit(held, y, np.array([shares.get(k, 0) / max(used[k], 1) for k in (0, 1)]))
+    del got, rows_
+    model = fit(held, y, np.array([shares.get(k, 0) / max(used[k], 1) for k in (0, 1)]))
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
