@@ -241,7 +241,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     rows_ = sample.select("text", "label", "order", "nth").mapInArrow(features, "hashes binary, sentences binary, label int, order long, nth int")
     got = rows_.toArrow().sort_by([("order", "ascending"), ("label", "ascending"), ("nth", "ascending")])
-    held = [(np.frombuffer(h.as_py(), np.uint64), np.tile(np.frombuffer(s.as_py(), np.int32), 2)) for h, s in zip(got["hashes"], got["sentences"], strict=True)]
+    held = [(np.frombuffer(h.as_buffer(), np.uint64), np.tile(np.frombuffer(s.as_buffer(), np.int32), 2)) for h, s in zip(got["hashes"], got["sentences"], strict=True)]
     y = got["label"].to_numpy().astype(np.int64)
     used = np.bincount(y, minlength=2)
     del got, rows_
