@@ -147,8 +147,8 @@ parts AS (
     string_split_regex(text, 'AKIA[A-Z0-9]+') FROM doc
   UNION ALL SELECT r, 3, regexp_extract_all(text, '[0-9a-f]+'), regexp_extract_all(text, '[0-9a-f]+'),
     string_split_regex(text, '[0-9a-f]+') FROM doc
-  UNION ALL SELECT r, rank, regexp_extract_all(text, (SELECT pattern FROM rules WHERE rank = 4)) AS m, m, string_split_regex(text, (SELECT pattern FROM rules WHERE rank = 4)) FROM doc, (SELECT 4 AS rank)
-  UNION ALL SELECT r, rank, regexp_extract_all(text, (SELECT pattern FROM rules WHERE rank = 5)) AS m, m, string_split_regex(text, (SELECT pattern FROM rules WHERE rank = 5)) FROM doc, (SELECT 5 AS rank)),
+  UNION ALL SELECT r, 4, regexp_extract_all(text, (SELECT pattern FROM rules WHERE rank = 4)), regexp_extract_all(text, (SELECT pattern FROM rules WHERE rank = 4)), string_split_regex(text, (SELECT pattern FROM rules WHERE rank = 4)) FROM doc
+  UNION ALL SELECT r, 5, regexp_extract_all(text, (SELECT pattern FROM rules WHERE rank = 5)), regexp_extract_all(text, (SELECT pattern FROM rules WHERE rank = 5)), string_split_regex(text, (SELECT pattern FROM rules WHERE rank = 5)) FROM doc),
 each AS (SELECT r, rank, unnest(range(1, len(m) + 1)) AS i, unnest(m) AS m, unnest(v) AS v, unnest(g[1:len(m)]) AS g FROM parts),
 placed AS (
   SELECT r, rank, length(v) AS n, sum(length(g) + length(m)) OVER (PARTITION BY r, rank ORDER BY i) AS stop, length(m) AS size FROM each),
