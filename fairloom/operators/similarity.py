@@ -1,8 +1,8 @@
 """Fuzzy matching by the Ratcliff-Obershelp ratio, with candidates cut down by bounds that lose nothing.
 
 The ratio of a and b is 2M / (len(a) + len(b)), M the characters that match; it depends on the order of a and b, so
-it is computed by Python's difflib in an Arrow-batched function, and only for pairs whose upper bounds reach the
-threshold: 2 min(len) / (sum of lengths), then 2 |common characters| / (sum of lengths).
+it is computed by Python's difflib in an Arrow-batched function, and only for pairs that share rare bigrams and whose
+upper bounds reach the threshold: 2 min(len) / (sum of lengths), then 2 |common characters| / (sum of lengths).
 """
 
 from __future__ import annotations
@@ -18,21 +18,28 @@ from pyspark.sql.types import DoubleType
 from fairloom.functions.text import normalize_name, norm_en
 
 
-@F.pandas_udf(DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """difflib's ratio; 0 if either is blank."""
-    matcher = difflib.SequenceMatcher(None)
-    last, out = None, []
-    for x, y in zip(a, b, strict=True):
-        if not x or not y:
-            out.append(0.0)
-            continue
-        if y != last:  # the second sequence is the one that is prepared
-            matcher.set_seq2(y)
-            last = y
-        matcher.set_seq1(x)
-        out.append(matcher.ratio())
-    return pd.Series(out, dtype="float64")
+def ratio_from(least: float):
+    """difflib's ratio as a function of two columns; 0 if either is blank or an upper bound stays below least."""
+
+    @F.pandas_udf(DoubleType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        matcher = difflib.SequenceMatcher(None)
+        last, out = None, []
+        for x, y in zip(a, b, strict=True):
+            if not x or not y:
+                out.append(0.0)
+                continue
+            if y != last:  # the second sequence is the one that is prepared
+                matcher.set_seq2(y)
+                last = y
+            matcher.set_seq1(x)
+            out.append(0.0 if least and matcher.quick_ratio() < least else matcher.ratio())
+        return pd.Series(out, dtype="float64")
+
+    return run
+
+
+ratio = ratio_from(0.0)
 
 
 def length_bound(a: Column, b: Column) -> Column:
@@ -52,31 +59,89 @@ def letter_bound(la: Column, lb: Column) -> Column:
     return 2.0 * F.size(F.array_intersect(la, lb)) / F.greatest(F.size(la) + F.size(lb), F.lit(1))
 
 
-def scored_pairs(left: DataFrame, right: DataFrame, a: str, b: str, threshold: float, on: Sequence[str] = ()) -> DataFrame:
-    """Pairs (equal in the columns on) whose ratio is at least threshold, with sim.
+def numbered(c: Column) -> Column:
+    """An array's items, each with its number among equals, so that set intersections are multiset intersections."""
+    there = F.sort_array(c)
+    return F.transform(there, lambda x, i: F.concat(x, F.lit("#"), (i - F.array_position(there, x) + 1).cast("string")))
 
-    Without block columns, pairs meet by length and a shared character: two strings of ratio t or more share
-    characters, and the rarest of a short prefix of them must be among the other's, so each side is exploded on the
-    prefix of its letters in one fixed order (prefix filtering) and pairs that miss there can't reach the threshold.
+
+def bigrams(c: Column) -> Column:
+    n = F.char_length(c)
+    return numbered(F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))).otherwise(F.array().cast("array<string>")))
+
+
+def shared_bigrams(n: Column, threshold: float) -> Column:
+    """How many bigrams a string of n characters must share with any string that reaches threshold; under 1: unknown.
+
+    Of s characters of both, M = ts/2 match and s - 2M don't. Runs of matching characters are kept apart by characters
+    that don't match, so they are at most s - 2M + 1, and a run of r holds r - 1 shared bigrams: together at least
+    3M - s - 1. The shortest partner has n t/(2-t) characters, so s is at least 2n/(2-t).
     """
-    x = left.withColumns({"la_": letters(F.col(a))}).alias("x")
-    y = right.withColumns({"lb_": letters(F.col(b))}).alias("y")
-    if on:
-        pairs = x.join(y, list(on))
-    else:
-        # of n letters at least t/(2-t)*n must be shared: any pair shares one among the first n - that + 1
-        least = threshold / (2 - threshold)
+    return F.ceil(n * (2 / (2 - threshold) * (1.5 * threshold - 1)) - 1 - 1e-9).cast("int")
 
-        def prefix(c: str) -> Column:
-            n = F.size(c)
-            return F.slice(c, F.lit(1), F.greatest(F.lit(1), n - F.ceil(n * least).cast("int") + 1))
 
-        xs = x.where(F.size("la_") > 0).withColumn("g_", F.explode(prefix("la_")))
-        ys = y.where(F.size("lb_") > 0).withColumn("g_", F.explode(prefix("lb_")))
-        keys = [c for c in (*left.columns, *right.columns)]
-        pairs = xs.join(ys, "g_").where(length_bound(F.col(a), F.col(b)) >= threshold).dropDuplicates(keys)
-    pairs = pairs.where((length_bound(F.col(a), F.col(b)) >= threshold) & (letter_bound(F.col("la_"), F.col("lb_")) >= threshold - 1e-9))
-    return pairs.withColumn("sim", ratio(F.col(a), F.col(b))).where(F.col("sim") >= threshold).drop("la_", "lb_", "g_")
+def candidates(xs: DataFrame, ys: DataFrame, threshold: float) -> DataFrame:
+    """Different pairs (a of xs, b of ys) that hold all of ratio threshold or more.
+
+    Two strings that share k of their tokens share one of the first n - k + 1 of either, in any one order (prefix
+    filtering). Tokens are bigrams, the rarest of both tables first, so that few strings meet on any of them. Strings too
+    short for a bound on bigrams, and those as short as their partners may be, meet on characters instead.
+    """
+    t = threshold
+    per_char = 2 / (2 - t) * (1.5 * t - 1)
+    # up to this length nothing is known about bigrams, and partners are at most (2-t)/t times as long
+    short = 1 / per_char + 1e-6 if per_char > 0 else float("inf")
+    reach = short * (2 - t) / t + 1e-6
+
+    def tokens(rows: DataFrame, c: str) -> DataFrame:
+        long = rows.where(F.char_length(c) > short)
+        return long.select(c, F.char_length(c).alias(f"n_{c}"), F.explode(bigrams(F.col(c))).alias("g_"))
+
+    found = []
+    if per_char > 0:
+        tx, ty = tokens(xs, "a"), tokens(ys, "b")
+        often = tx.select("g_").unionByName(ty.select("g_")).groupBy("g_").agg(F.count("*").alias("often_"))
+
+        def first(rows: DataFrame, c: str) -> DataFrame:
+            place = F.row_number().over(Window.partitionBy(c).orderBy("often_", "g_"))
+            least = shared_bigrams(F.col(f"n_{c}"), t)
+            return rows.join(often, "g_").withColumn("place_", place).where(F.col("place_") <= F.col(f"n_{c}") - 1 - F.greatest(least, F.lit(1)) + 1)
+
+        found.append(first(tx, "a").join(first(ty, "b"), "g_").where(length_bound(F.col("a"), F.col("b")) >= t - 1e-9).select("a", "b"))
+
+    # of n letters at least t/(2-t)*n must be shared: any pair shares one among the first n - that + 1
+    least = t / (2 - t)
+
+    def prefix(c: Column) -> Column:
+        n = F.size(c)
+        return F.slice(c, F.lit(1), F.greatest(F.lit(1), n - F.ceil(n * least - 1e-9).cast("int") + 1))
+
+    def few(rows: DataFrame, c: str) -> DataFrame:
+        some = rows.where(F.char_length(c) <= reach) if per_char > 0 else rows
+        return some.where(F.char_length(c) > 0).select(c, F.explode(prefix(letters(F.col(c)))).alias("g_"))
+
+    near = few(xs, "a").join(few(ys, "b"), "g_").where(length_bound(F.col("a"), F.col("b")) >= t - 1e-9)
+    if per_char > 0:
+        near = near.where((F.char_length("a") <= short) | (F.char_length("b") <= short))
+    found.append(near.select("a", "b"))
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    return every.distinct()
+
+
+def scored_pairs(left: DataFrame, right: DataFrame, a: str, b: str, threshold: float, on: Sequence[str] = ()) -> DataFrame:
+    """Pairs (equal in the columns on) whose ratio is at least threshold, with sim. Without block columns different
+    strings meet as candidates, are scored once, and only then meet their rows again."""
+    score = ratio_from(threshold)
+    if on:
+        pairs = left.join(right, list(on)).where(length_bound(F.col(a), F.col(b)) >= threshold - 1e-9)
+        return pairs.withColumn("sim", score(F.col(a), F.col(b))).where(F.col("sim") >= threshold)
+    xs, ys = left.select(F.col(a).alias("a")).where("a <> ''").distinct(), right.select(F.col(b).alias("b")).where("b <> ''").distinct()
+    pairs = candidates(xs, ys, threshold).sortWithinPartitions("b").withColumn("sim", score(F.col("a"), F.col("b"))).where(F.col("sim") >= threshold)
+    pairs = pairs.select(F.col("a").alias("a_"), F.col("b").alias("b_"), "sim")
+    met = left.join(pairs, F.col(a) == F.col("a_")).drop("a_")
+    return met.join(right, F.col("b_") == F.col(b)).select(*left.columns, *right.columns, "sim")
 
 
 def best_match(names: DataFrame, known: DataFrame, name: str, known_name: str, known_key: str, accept: float = 0.90, margin: float = 0.05, log: float = 0.85) -> DataFrame:
@@ -137,10 +202,10 @@ def review_layers(brands: DataFrame, threshold: float = 0.80) -> DataFrame:
     """Pairs within organizer and city for review: keep, merge, layer A1 (same normalised name), A2 (similar), B (same
     venue and English name) or C (same venue and period). The brand with more editions is kept, then the smaller id."""
     rows = brands.select("id", "name", "name_en", "venue", "start", "end", "editions", F.trim(F.coalesce("organizer", F.lit(""))).alias("org"), F.trim(F.coalesce("city", F.lit(""))).alias("city"))
-    rows = rows.where("org <> '' and org <> 'test' and city <> ''").withColumns({"norm": normalize_name(F.col("name")), "en": norm_en(F.col("name_en")), "place": F.trim(F.coalesce("venue", F.lit("")))})
+    rows = rows.where("org <> '' and org <> 'test' and city <> ''").withColumns({"norm": normalize_name(F.col("name")), "en": norm_en(F.col("name_en")), "place": F.trim(F.coalesce("venue", F.lit("")))}).withColumn("letters", letters(F.col("norm")))
     a, b = rows.alias("a"), rows.alias("b")
     pairs = a.join(b, (F.col("a.org") == F.col("b.org")) & (F.col("a.city") == F.col("b.city")) & (F.col("a.id") < F.col("b.id")))
-    near = (length_bound(F.col("a.norm"), F.col("b.norm")) >= threshold) & (letter_bound(letters(F.col("a.norm")), letters(F.col("b.norm"))) >= threshold - 1e-9)
+    near = (length_bound(F.col("a.norm"), F.col("b.norm")) >= threshold) & (letter_bound(F.col("a.letters"), F.col("b.letters")) >= threshold - 1e-9)
     there = (F.col("a.place") != "") & (F.col("a.place") == F.col("b.place"))
     same_en = there & (F.col("a.en") != "") & (F.col("a.en") == F.col("b.en"))
     same_time = there & (F.coalesce("a.start", F.lit("")) != "") & (F.col("a.start") == F.col("b.start")) & F.col("a.end").eqNullSafe(F.col("b.end"))

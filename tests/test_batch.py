@@ -49,6 +49,20 @@ def test_ratio_is_difflibs_and_pruning_loses_nothing(spark):
         assert got == pytest.approx(want)
 
 
+def test_rare_bigrams_lose_nothing(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh 展会") for _ in range(rng.randint(2, 30))) for _ in range(60)]
+    for w in words[:40]:
+        cut = rng.randrange(len(w))
+        words += [w[:cut] + rng.choice("xyz") + w[cut:], w[cut:] + w[:cut], w[:cut] + w[cut + 2 :], w.replace("a", "q")]
+    words = sorted({w for w in words if w})
+    df = spark.createDataFrame([(w,) for w in words], "a string")
+    for t in (0.7, 0.75, 0.85, 0.9):
+        found = {(r.a, r.b): r.sim for r in S.scored_pairs(df, df.withColumnRenamed("a", "b"), "a", "b", t).collect()}
+        want = {(x, y): s for x in words for y in words if (s := difflib.SequenceMatcher(None, x, y).ratio()) >= t}
+        assert found == pytest.approx(want) and len(want) > len(words)
+
+
 def test_best_match(spark):
     known = spark.createDataFrame([("EXPO-0001", "上海国际机床展")], "brand_id string, name_cn string")
     names = spark.createDataFrame([("上海国际机床展",), ("上海国际机床展览会",), ("完全无关的展览",), ("",)], "n string")
