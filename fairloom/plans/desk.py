@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fairloom.operators.storage import table
+from fairloom.plans import actions as A
 from fairloom.plans import batch as B
 from fairloom.plans import workbench as W
 
@@ -197,3 +198,77 @@ checked("stage_changes", "opportunity", "SELECT opp_id, CASE WHEN opp_id % 2 = 0
     lambda t: B.stage_changes(t["opportunity"].drop("updated_at"), t["opportunity"].where("opp_id % 2 = 0").selectExpr("opp_id", "'closing' as stage"), TODAY, "me")[0].select("opp_id", "stage"))
 checked("stage_events", "opportunity", "SELECT opp_id, stage || ' → closing' AS content FROM opportunity WHERE opp_id % 2 = 0 AND stage <> 'closing'")(
     lambda t: B.stage_changes(t["opportunity"].drop("updated_at"), t["opportunity"].where("opp_id % 2 = 0").selectExpr("opp_id", "'closing' as stage"), TODAY, "me")[1].select("opp_id", "content"))
+
+# rows created, deleted, backfilled and put right
+_DRAFTS = """SELECT s_suppkey AS draft, CASE WHEN s_suppkey % 7 = 0 THEN ' ' ELSE s_name END AS title, CASE WHEN s_suppkey % 5 = 0 THEN 'other' ELSE 'ma' END AS type,
+  CASE WHEN s_suppkey % 3 = 0 THEN 'bogus' ELSE 'contact' END AS stage, CAST(s_suppkey % 9 AS INT) AS priority FROM {supplier}"""
+DERIVED["drafts"] = ("supplier", _DRAFTS)
+DERIVED["scanned"] = ("events", """SELECT 'f/' || CAST(event_id * 2 AS STRING) AS file_path, 'note' AS kind, 's' || CAST(event_id AS STRING) AS title, CAST(event_id AS BIGINT) AS size_bytes,
+  CAST(event_id % 5 AS BIGINT) AS company_id FROM {events}""")
+DERIVED["found"] = ("events", """SELECT 'f/' || CAST(event_id AS STRING) AS report_file, 'company' AS report_type, event_type AS report_md, 'r' || CAST(event_id AS STRING) AS title,
+  CAST(event_id % 9 AS BIGINT) AS company_id, '2024-05-01' AS made_at FROM {events} WHERE event_id % 3 = 0""")
+DERIVED["filed"] = ("documents", """SELECT doc_id AS id, 'f/' || CAST(doc_id * 2 AS STRING) AS report_file, 'industry' AS report_type, lang AS report_md, source AS title, CAST(doc_id % 4 AS BIGINT) AS company_id,
+  'draft' AS status, 'me' AS created_by, '2024-01-01' AS created_at, '2024-01-01' AS updated_at FROM {documents}""")
+
+
+def _created(t: Derived) -> tuple[DataFrame, DataFrame]:
+    return A.created(t["opportunity"], t["drafts"], "opp_id", "title", A.OPPORTUNITY_ENUMS, "me", TODAY, ("priority", 1, 5))
+
+
+_JUDGED = """, judged AS (SELECT *, CASE WHEN trim(coalesce(title, '')) = '' THEN 'titleRequired' WHEN type NOT IN ('ma', 'greenfield', 'project_support') THEN 'badBizLine'
+  WHEN stage NOT IN ('contact', 'intent', 'dd', 'audit', 'closing') THEN 'badStage' WHEN NOT priority BETWEEN 1 AND 5 THEN 'bad_priority' END AS problem FROM drafts)"""
+checked("created", "opportunity drafts", f"""{_JUDGED}, good AS (SELECT * FROM judged WHERE problem IS NULL)
+SELECT title, type, stage, priority, TODAY AS updated_at FROM good, (SELECT '{TODAY}' AS TODAY) UNION ALL SELECT title, type, stage, priority, updated_at FROM opportunity""")(lambda t: _created(t)[0].select("title", "type", "stage", "priority", "updated_at"))
+checked("created_ids", "opportunity drafts", f"""{_JUDGED}, n AS (SELECT count(*) AS n FROM judged WHERE problem IS NULL), o AS (SELECT count(*) AS rows, max(opp_id) AS top FROM opportunity)
+SELECT rows + n AS rows, rows + n AS ids, top + n AS last FROM n, o""")(lambda t: _created(t)[0].selectExpr("count(*) AS rows", "count(DISTINCT opp_id) AS ids", "max(opp_id) AS last"))
+checked("created_rejected", "drafts", f"{_JUDGED} SELECT draft, problem FROM judged WHERE problem IS NOT NULL")(lambda t: _created(t)[1])
+
+
+def _archived(t: Derived) -> tuple[DataFrame, DataFrame]:
+    return A.archived(t["opportunity"], t["drafts"].selectExpr("draft * 4 AS opp_id"), "opp_id", "now")
+
+
+checked("archived", "opportunity drafts", """SELECT opp_id, CASE WHEN k.id IS NOT NULL THEN 1 ELSE is_archived END::INT AS is_archived, CASE WHEN k.id IS NOT NULL AND is_archived = 0 THEN 'now' ELSE updated_at END AS updated_at
+  FROM opportunity LEFT JOIN (SELECT DISTINCT draft * 4 AS id FROM drafts) k ON k.id = opp_id""")(lambda t: _archived(t)[0].select("opp_id", "is_archived", "updated_at"))
+checked("archived_now", "opportunity drafts", "SELECT opp_id FROM opportunity WHERE is_archived = 0 AND opp_id IN (SELECT draft * 4 FROM drafts)")(lambda t: _archived(t)[1])
+checked("resources_indexed", "resource scanned", """SELECT coalesce(r.file_path, s.file_path) AS file_path, coalesce(r.kind, s.kind) AS kind, coalesce(r.title, s.title) AS title, coalesce(s.size_bytes, r.size_bytes) AS size_bytes,
+  coalesce(r.company_id, s.company_id) AS company_id FROM resource r FULL JOIN scanned s ON s.file_path = r.file_path""")(lambda t: A.indexed_resources(t["resource"], t["scanned"]).select("file_path", "kind", "title", "size_bytes", "company_id"))
+checked("reports_backfilled", "filed found", """SELECT coalesce(f.report_file, r.report_file) AS report_file, coalesce(f.report_type, r.report_type) AS report_type, coalesce(f.report_md, r.report_md) AS report_md, coalesce(f.title, r.title) AS title,
+  CASE WHEN f.report_file IS NULL THEN r.status ELSE 'published' END AS status, coalesce(f.made_at, r.updated_at) AS updated_at FROM filed r FULL JOIN found f ON f.report_file = r.report_file""")(
+    lambda t: A.backfilled_reports(t["filed"], t["resource"], t["found"], "backfill")[0].select("report_file", "report_type", "report_md", "title", "status", "updated_at"))
+checked("reports_linked", "filed found resource", """SELECT resource_id, f.report_file IS NOT NULL AS has_report, r.id AS known_id FROM resource s LEFT JOIN found f ON f.report_file = s.file_path LEFT JOIN filed r ON r.report_file = f.report_file""")(
+    lambda t: (lambda linked, old: linked.join(old, linked["report_id"] == old["known_id"], "left").selectExpr("resource_id", "report_id IS NOT NULL AS has_report", "known_id"))(
+        A.backfilled_reports(t["filed"], t["resource"], t["found"], "backfill")[1], t["filed"].selectExpr("id AS known_id")))
+checked("canonical_values", "exhibition_brand", "SELECT brand_id, CASE WHEN industry_l1 IN ('BUILDING', 'FURNITURE') THEN 'HOUSE' WHEN industry_l1 = 'MACHINERY' THEN 'TOOLS' ELSE industry_l1 END AS industry_l1 FROM exhibition_brand")(
+    lambda t: A.canonical_values(t["exhibition_brand"], "industry_l1", {"HOUSE": ["BUILDING", "FURNITURE"], "TOOLS": ["MACHINERY"]}).select("brand_id", "industry_l1"))
+
+
+def _cleared(t: Derived) -> tuple[DataFrame, DataFrame]:
+    history = t.spark.createDataFrame([], "brand_id string, field_name string, old_value string, new_value string, changed_by string, reason string, change_source string")
+    return A.cleared(t["exhibition_brand"], history, "organizer", "Org 7", "script/clear", "test value")
+
+
+checked("cleared", "exhibition_brand", "SELECT brand_id, CASE WHEN organizer = 'Org 7' THEN '' ELSE organizer END AS organizer FROM exhibition_brand")(lambda t: _cleared(t)[0].select("brand_id", "organizer"))
+checked("cleared_audit", "exhibition_brand", "SELECT brand_id, 'organizer' AS field_name, organizer AS old_value, '' AS new_value, 'script' AS change_source FROM exhibition_brand WHERE organizer = 'Org 7'")(
+    lambda t: _cleared(t)[1].select("brand_id", "field_name", "old_value", "new_value", "change_source"))
+
+# reports
+checked("search_exhibition", "exhibition_brand", """SELECT brand_id, name_cn, scale_score FROM exhibition_brand WHERE name_cn ILIKE '%0001%' OR name_en ILIKE '%0001%'
+  ORDER BY CASE WHEN name_cn = '0001' THEN 0 ELSE 1 END, scale_score DESC NULLS LAST, brand_id LIMIT 20""")(lambda t: A.search_exhibition(t, "0001").select("brand_id", "name_cn", "scale_score"))
+_FOUND = ", hits AS (SELECT * FROM exhibition_brand WHERE industry_l1 ILIKE '%ur%' OR industry_l2 ILIKE '%ur%' OR name_cn ILIKE '%ur%' ORDER BY scale_score DESC NULLS LAST, industry_l1 NULLS FIRST, brand_id LIMIT 50)"
+checked("search_industry", "exhibition_brand", f"{_FOUND} SELECT brand_id, industry_l1, scale_score FROM hits")(lambda t: A.search_industry(t, "ur").select("brand_id", "industry_l1", "scale_score"))
+checked("industries", "exhibition_brand", """SELECT industry_l1, count(*) AS brands, count(*) FILTER (competition_relation = 'own') AS competitors, count(*) FILTER (is_international = 1) AS related FROM exhibition_brand
+  WHERE industry_l1 <> '' GROUP BY 1""")(lambda t: A.list_industries(t, "own", "is_international"))
+checked("industry_groups", "exhibition_brand", f"{_FOUND} SELECT coalesce(nullif(industry_l1, ''), '未分类') AS industry_l1, count(*) AS total, count(*) FILTER (competition_relation = 'own') AS competitors FROM hits GROUP BY 1")(
+    lambda t: A.industry_report(t, "ur", competing="own")["groups"])
+checked("industry_totals", _BE, f"""{_FOUND} SELECT count(*) AS with_editions, coalesce(sum(area_sqm), 0)::BIGINT AS area_sqm, coalesce(sum(exhibitors_count), 0)::BIGINT AS exhibitors_count, coalesce(sum(visitors_count), 0)::BIGINT AS visitors_count
+  FROM latest WHERE edition_id IS NOT NULL AND brand_id IN (SELECT brand_id FROM hits)""", True)(lambda t: A.industry_report(t, "ur")["totals"])
+checked("organizer_area", "brand_organizer exhibition_edition", """SELECT canonical, sum(area_sqm) / 10000.0 AS area, count(*) AS fairs FROM brand_organizer o JOIN exhibition_edition e ON e.brand_id = o.brand_id AND e.year = 1996
+  WHERE org_type = '企业' AND area_sqm > 0 GROUP BY 1 ORDER BY sum(area_sqm) DESC, canonical LIMIT 20""")(lambda t: A.organizer_area(t, 1996))
+checked("knowledge_page", "intel_report", "SELECT id, 'active' AS status FROM intel_report WHERE status = 'published'")(lambda t: A.knowledge_page(t["intel_report"].replace({"published": "active", "draft": "archived"}, subset=["status"]))[0].select("id", "status"))
+checked("knowledge_archived", "intel_report", "SELECT count(*) FILTER (status = 'draft') AS archived FROM intel_report")(lambda t: A.knowledge_page(t["intel_report"].replace({"published": "active", "draft": "archived"}, subset=["status"]))[1])
+checked("prospects_export", "company", "SELECT company_id, name FROM company WHERE brand_id = 'B6'")(lambda t: A.export_prospects(t, "B6").select("company_id", "name"))
+checked("edition_spread", "exhibition_edition", "SELECT count(*) FILTER (n > 1) AS with_several, max(n) AS most FROM (SELECT count(*) AS n FROM exhibition_edition GROUP BY brand_id)")(lambda t: A.edition_spread(t))
+checked("last_options", "exhibition_brand", "SELECT city, max(brand_id) AS brand_id FROM exhibition_brand GROUP BY city")(lambda t: A.last_options(t["exhibition_brand"], "city", "brand_id").select("city", "brand_id"))
+checked("participation_kinds", "exhibition_brand", """SELECT count(*) AS "all", count(*) FILTER (is_international = 1) AS international, count(*) FILTER (is_international = 0) AS domestic, count(*) FILTER (lower(name_cn) LIKE '%11%' OR lower(name_cn) LIKE '%#2%') AS among FROM exhibition_brand""")(
+    lambda t: A.participation_kinds(t["exhibition_brand"].selectExpr("name_cn AS name", "if(is_international = 1, 'international', 'domestic') AS kind"), ("11", "#2")))
