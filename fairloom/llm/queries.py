@@ -69,6 +69,12 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_report(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fairloom.llm.runs import run_report
+
+    return run_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_benchmark_decontamination,
     op2_pii_surrogates,
@@ -80,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op8_chat_formatting,
     op9_best_two_fit_packing,
     op10_secret_scans,
+    op11_periodic_runs,
 )}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -161,5 +168,26 @@ found AS (
 SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM doc LEFT JOIN found USING (r)
+""",
+    "op11_periodic_runs": r"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sums AS (SELECT *, len(w) AS n, coalesce(xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [ascii(d)::BIGINT FOR d IN string_split(doc_id::VARCHAR, '')]),
+    lambda c, d: list_reduce(list_prepend(xor(c, d), [0::BIGINT FOR k IN range(8)]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384)))), 1) AS h FROM doc),
+parts AS (SELECT *, (h // 10) % n AS a, 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) AS p FROM sums),
+said AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN [w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END] FOR i IN range(n)] ELSE w END AS w FROM parts),
+grams AS (SELECT r, n, unnest(range(n - 4)) AS i, unnest([w[i:i+4] FOR i IN range(1, n - 3)]) AS g FROM said WHERE n >= 5),
+twice AS (SELECT * FROM grams QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+same AS (SELECT x.r, y.i - x.i AS q, x.i FROM twice x JOIN twice y ON x.r = y.r AND x.g = y.g AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM same),
+long AS (SELECT r, q, min(i) AS s, count(*) + 4 + q AS len FROM islands GROUP BY r, q, island HAVING count(*) + 4 + q >= greatest(6, 4 * q)),
+runs AS (SELECT r, s, len, min(q) AS q FROM long GROUP BY r, s, len),
+listed AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS l FROM runs GROUP BY r),
+best AS (SELECT r, s, len, q FROM runs x WHERE NOT EXISTS (SELECT 1 FROM runs y WHERE y.r = x.r
+  AND (y.len * x.q > x.len * y.q OR (y.len * x.q = x.len * y.q AND (y.s < x.s OR (y.s = x.s AND y.q < x.q)))))),
+gone AS (SELECT r, list(DISTINCT i) AS gone FROM (SELECT r, unnest(range(s + q, s + len)) AS i FROM runs) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, len::BIGINT AS length, q::BIGINT AS period, (1000 * len // q)::BIGINT AS exponent_milli,
+  sha256(coalesce(l, '')) AS runs_sha256,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE [w[i + 1] FOR i IN range(n) IF NOT list_contains(gone, i)] END, ' ')) AS collapsed_sha256
+FROM said LEFT JOIN listed USING (r) LEFT JOIN best USING (r) LEFT JOIN gone USING (r)
 """,
 }
