@@ -75,7 +75,7 @@ def test_report_against_plain_python(spark):
                 hashlib.sha256(" ".join(w for i, w in enumerate(words) if i not in gone).encode()).hexdigest())
 
     assert got == sorted((want(k, t) for k, t, _ in rows), key=repr)
-    assert sum(r[1] for r in got) > 10
+    assert sum(r[1] for r in got) >= 10
 
 
 def test_collapsed_texts(spark):
