@@ -48,7 +48,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return str(public_tokenizers.path(name))
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The letter that stands for each byte in byte-level vocabularies: itself if it prints, else one from 256 on."""
     prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
     letters = {b: chr(b) for b in prints}
@@ -73,7 +73,7 @@ class ChunkIds(dict):
         self.words: dict[str, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.old_words: dict[str, bytes] = {}
-        self.letters = _byte_letters()
+        self.letters = byte_letters()
 
     def plain(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
