@@ -75,6 +75,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_report(table(spark, sf_dir, "documents"))
 
 
+def op12_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fairloom.llm.wrappers import extracted
+
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fairloom.llm.alignment import alignment_report
 
@@ -93,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op9_best_two_fit_packing,
     op10_secret_scans,
     op11_periodic_runs,
+    op12_wrapper_induction,
     op13_cross_tokenizer_alignment,
 )}
 
