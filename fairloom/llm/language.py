@@ -4,12 +4,15 @@ The network reads windows of WINDOW bytes in both directions and gives every byt
 languages; a document's distribution is the mean over its letter positions. Every byte of every text is read: a text
 is cut into windows side by side, states start afresh in each. Training is plain numpy: backpropagation through time
 on a bounded sample, at most SAMPLE_DOCS documents and SAMPLE_BYTES bytes of each language (those with the smallest
-hashes of their ids, each whole or not at all), of which every step draws some windows, at any place of the texts.
-Texts are scored where they are read; nothing is shuffled.
+hashes of their ids), of which every step draws some windows, at any place of the texts. Texts are learned from whole;
+of those longer than a LONG-th of SAMPLE_BYTES that much is taken, in STRETCHES spread evenly from begin to end, so no
+text shuts out others and no language is lost for the length of its texts. Texts are scored where they are read;
+nothing is shuffled.
 
 Defined results: `und` with score 0 for null texts, texts without a letter, and when there was nothing to learn
 from. Documents without language or id are scored but not learned from; of rows that repeat an id, one for each
-language. Repeated rows are scored alike. Columns that clash with result columns are replaced, others stay, whatever
+language. Very long texts are scored whole, window by window. Of equally likely languages the first by name is taken.
+Repeated rows are scored alike. Columns that clash with result columns are replaced, others stay, whatever
 their names.
 """
 
@@ -19,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairloom.llm.common import blocks, flat_bytes, fold, unused, without
@@ -27,6 +30,7 @@ from fairloom.operators.storage import cut
 
 HIDDEN, WINDOW, BATCH = 8, 128, 2048
 SAMPLE_DOCS, SAMPLE_BYTES, TRAIN_WINDOW = 400, 2_000_000, 48
+LONG, STRETCHES = 8, 16
 STEPS, TRAIN_BATCH, RATE, SEED = 260, 192, 0.03, 7
 UNKNOWN = "und"
 
@@ -172,6 +176,15 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, languages: list[str]) -> Ne
     return Network(languages, [params["e0"], params["e1"]], [params["u0"], params["u1"]], params["v"], params["c"])
 
 
+def spread(text: str, size: str, most: int) -> Column:
+    """A text of at most `most` bytes as it is; of a longer one STRETCHES of its characters, evenly spread, with letters
+    in as many bytes each as on average."""
+    points = F.char_length(text)
+    each = F.floor(points.cast("double") * (most // STRETCHES) / F.col(size)).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda i: F.substring(F.col(text), F.floor((points - each).cast("double") * i / (STRETCHES - 1)).cast("int") + 1, each))
+    return F.when(F.col(size) > most, F.array_join(parts, " ")).otherwise(F.col(text))
+
+
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Network | None:
     """A network from documents outside the held-out fold; None if none has a language."""
     order = F.xxhash64(key)
@@ -179,15 +192,16 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     usable = usable.select(F.col(text).alias("text"), F.col(lang).alias("lang"), order.alias("o"), F.xxhash64(text).alias("h"), F.octet_length(text).alias("n"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("o", "h"))
     best = usable.select("lang", "o", "h", "n").withColumn("nth", nth).where(F.col("nth") <= SAMPLE_DOCS)  # cut short before the shuffle
-    best = cut(best.groupBy("lang", "o").agg(F.min(F.struct("h", "n")).alias("x")).select("lang", "o", "x.h", "x.n"))
+    best = cut(best.groupBy("lang", "o").agg(F.min(F.struct("h", "n")).alias("x")).select("lang", "o", "x.h", F.least("x.n", F.lit(SAMPLE_BYTES // LONG)).alias("n")))
     so_far = F.sum("n").over(Window.partitionBy("lang").orderBy("o"))
     best = best.withColumn("sum", so_far).where(F.col("sum") <= SAMPLE_BYTES).select("lang", "o", "h")
-    rows = usable.join(F.broadcast(best), ["lang", "o", "h"]).select("lang", "o", "text")  # SAMPLE_DOCS short rows a language
-    got = rows.toArrow().group_by(["lang", "o"]).aggregate([("text", "min")]).sort_by([("lang", "ascending"), ("o", "ascending")])
+    rows = usable.join(F.broadcast(best), ["lang", "o", "h"])  # SAMPLE_DOCS short rows a language
+    rows = rows.groupBy("lang", "o").agg(F.first(spread("text", "n", SAMPLE_BYTES // LONG)).alias("text"))  # equal texts once
+    got = rows.toArrow().sort_by([("lang", "ascending"), ("o", "ascending")])
     if not got.num_rows:
         return None
     known = sorted(set(got["lang"].to_pylist()))
-    texts = [_FOLD[np.frombuffer(x.encode(), np.uint8)] for x in got["text_min"].to_pylist()]
+    texts = [_FOLD[np.frombuffer(x.encode(), np.uint8)] for x in got["text"].to_pylist()]
     labels = np.array([known.index(x) for x in got["lang"].to_pylist()])
     return fit(texts, labels, known)
 

@@ -7,14 +7,17 @@ and stay at or above it: a word may speak for toxicity, and its absence for noth
 penalty leaves most words at zero; a second one without, over the words that are left, undoes what the penalty took
 from them. Sentences of at least SENTENCE probability are the offending ones.
 
-Training sees a bounded sample: at most TRAIN_ROWS labelled documents of each class and at most TRAIN_BYTES of their
-texts together, those with the smallest hashes of their ids, weighted back to the classes' shares. Texts are taken
-whole or not at all. Only hashes of words with some support in toxic documents are weighed. Scoring reads every whole
+Training sees a bounded sample: at most TRAIN_ROWS labelled documents of each class and at most half of TRAIN_BYTES of
+their texts, those with the smallest hashes of their ids, weighted back to the classes' shares. Texts are taken whole
+or not at all; those of over a LONG-th of a class's bytes come last, shortest first, so a very long text can't take the
+place of others. Only hashes of words with some support in toxic documents are weighed. Scoring reads every whole
 text once, without a shuffle.
 
 Defined results: a null or wordless text scores the leak. Null labels aren't learned from; documents without an id
-are scored but never learned from. Of rows that repeat an id at most REPEATS are learned from. Without usable labels
-no word counts and every score is next to 0. Repeated rows are scored alike. Columns of the input that clash with
+are scored but never learned from. Of rows that repeat an id at most REPEATS with different texts are learned from.
+Without usable labels, or with texts of one class only, no word counts and every score is next to 0, so nothing is
+rejected. Texts of any length are scored whole, in stretches of bounded size. Repeated rows are scored alike, and equal
+scores stay equal. Columns of the input that clash with
 result columns are replaced, others stay, whatever their names.
 """
 
@@ -32,7 +35,7 @@ from pyspark.sql import types as T
 from fairloom.llm.common import blocks, flat_bytes, fold, mix, release, split_words, unused, without, word_hashes
 from fairloom.operators.storage import cut
 
-TRAIN_ROWS, TRAIN_BYTES, REPEATS = 2_000, 14_000_000, 4
+TRAIN_ROWS, TRAIN_BYTES, REPEATS, LONG = 2_000, 14_000_000, 4, 32
 SENTENCE, DOCUMENT = 0.5, 0.5
 #: Words are weighed if they are in this many toxic documents that differ.
 SUPPORT = 5
@@ -182,7 +185,7 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, class_wei
     """docs: hashes and sentence numbers of the words and stems of each; class_weights: how many rows a row of class 0, 1 stands for.
     Empties docs on the way."""
     if not len(labels) or labels.min() == labels.max():
-        return Model(leak=float(labels[0]) * 0.99 if len(labels) else 0.0)
+        return Model()
     keys, number, row, kind = different(docs)
     toxic = labels[row] == 1
     kinds = int(kind.max()) + 1
@@ -220,12 +223,17 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return Model()
     order = F.xxhash64("label_key")
     picked = [usable.where(F.col("label") == k).orderBy(order, "label_key").limit(rows) for k in (0, 1)]
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    sample = texts.join(F.broadcast(picked[0].union(picked[1])), F.col("key") == F.col("label_key"))  # rows * 2 short rows at most
-    nth = F.row_number().over(Window.partitionBy("label_key", "label").orderBy(F.octet_length("text"), "text"))
-    sample = cut(sample.withColumn("order", order).withColumn("nth", nth).where(F.col("nth") <= REPEATS))
-    bytes_so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy("label").orderBy("order", "label_key", "nth"))
-    sample = sample.withColumn("sum", bytes_so_far).where(F.col("sum") <= size // 2)
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+    short = texts.select("key", "hash", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    short = short.join(F.broadcast(picked[0].union(picked[1])), F.col("key") == F.col("label_key"))  # rows * 2 short rows at most
+    short = short.groupBy("label_key", "label", "hash", "size").agg(order.alias("order"))  # of equal texts one
+    nth = F.row_number().over(Window.partitionBy("label_key", "label").orderBy("size", "hash"))
+    short = cut(short.withColumn("nth", nth).where(F.col("nth") <= REPEATS))
+    long = F.when(F.col("size") > size // 2 // LONG, F.col("size")).otherwise(0)
+    so_far = F.sum("size").over(Window.partitionBy("label").orderBy(long, "order", "label_key", "nth"))
+    chosen = short.withColumn("sum", so_far).where(F.col("sum") <= size // 2).select("label_key", "label", "hash", "order", "nth")
+    sample = texts.join(F.broadcast(chosen), (F.col("key") == F.col("label_key")) & (texts["hash"] == chosen["hash"]))  # rows * 2 * REPEATS short rows
+    sample = sample.groupBy("label", "order", "label_key", "nth").agg(F.first("text").alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fairloom.llm import language
 
@@ -97,3 +98,23 @@ def test_odd_rows(spark, docs, network):
     report = language.language_report(odd.limit(0)).collect()
     assert report == []
     assert {r.lang_pred for r in language.language_report(odd.where("lang is null")).collect()} == {"und"}
+
+
+def test_a_very_long_text_does_not_shut_out_its_language(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    usable = docs.where((F.col("lang") == "en") & (language.fold("doc_id") != 0) & (F.length("text") > 100))
+    first = usable.orderBy(F.xxhash64("doc_id")).first()
+    longer = docs.withColumn("text", F.when(F.col("doc_id") == first.doc_id, F.repeat("text", 3_000_000 // len(first.text) + 1)).otherwise(F.col("text")))
+    lang = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect()}
+
+    def right(df):
+        return [r.lang_pred == lang[r.doc_id] for r in language.language_report(df).collect() if r.held_out and lang[r.doc_id] and r.lang_pred != "und"]
+
+    before, after = right(docs), right(longer)
+    assert np.mean(before) > 0.95 and abs(np.mean(before) - np.mean(after)) < 0.02
+
+
+def test_stretches_come_from_the_whole_text(spark):
+    df = spark.createDataFrame([("é" * 50 + "b" * 100 + "c" * 1000 + "z" * 50,), ("short",)], "text string").withColumn("n", F.octet_length("text"))
+    long, short = (r[0] for r in df.select(language.spread("text", "n", 320)).collect())
+    assert short == "short" and long.startswith("é") and long.endswith("z") and 250 < len(long.encode()) < 400 and "b" in long and "c" in long

@@ -90,3 +90,31 @@ def test_odd_tables(spark, tables):
     assert toxicity.toxicity_report(clash, marks).count() == 12
     repeats = docs.union(docs).union(spark.createDataFrame([(2, "x", 7)] * 50, docs.schema))
     assert toxicity.toxicity_report(repeats, one).count() == 58
+
+
+SMALL = "/root/testdata/sf0.01"
+
+
+def rated(got, labels):
+    held = {r.doc_id: r.toxic for r in labels.collect()}
+    toxic = np.array([r.score for r in got if r.held_out and held.get(r.doc_id) == 1])
+    clean = np.array([r.score for r in got if r.held_out and held.get(r.doc_id) == 0])
+    return (toxic[:, None] > clean).mean() + (toxic[:, None] == clean).mean() / 2
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_a_very_long_labelled_text_changes_little(spark, label):
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    first = docs.join(labels.where(f"toxic = {label}"), "doc_id").where((toxicity.fold("doc_id") != 0) & "length(text) > 200").orderBy("doc_id").first()
+    times = 8_000_000 // len(first.text) + 1
+    longer = docs.withColumn("text", toxicity.F.when(toxicity.F.col("doc_id") == first.doc_id, toxicity.F.repeat("text", times)).otherwise(toxicity.F.col("text")))
+    before, after = (toxicity.toxicity_report(d, labels).collect() for d in (docs, longer))
+    assert abs(rated(before, labels) - rated(after, labels)) < 0.02
+    kept = toxicity.reject_toxic(longer, labels).count()
+    assert abs(kept - sum(r.predicted == 0 for r in before)) <= 10
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_labels_of_one_class_reject_nothing(spark, label):
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet").where(f"toxic = {label}")
+    assert toxicity.reject_toxic(docs, labels).count() == docs.count()
