@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fairloom.functions import text as X
 from fairloom.operators import relational as R
 from fairloom.operators.graph import connected_components
+from fairloom.operators.leaders import numbered_in_order, ordered_leaders
 from fairloom.operators.similarity import best_match, duplicate_pairs, ratio, scored_pairs
 from fairloom.operators.storage import cut
 from fairloom.schema import DOMAINS, RANGES, TABLES
@@ -39,6 +40,7 @@ def normalised_rows(raw: DataFrame) -> DataFrame:
         X.normalize_city(get("city")).alias("city"), get("venue").alias("venue"), X.normalize_cjk_spaces(get("organizer")).alias("organizer"),
         X.parse_numeric(get("area_str", "area")).alias("area_sqm"), X.parse_numeric(get("exhibitors_str", "exhibitors")).alias("exhibitors_count"), X.parse_numeric(get("visitors_str", "visitors")).alias("visitors_count"),
         get("cycle", "frequency").alias("frequency"), get("industry").alias("industry"), X.canonical_url(get("source_url")).alias("source_url"), get("crawl_batch_id").alias("crawl_batch_id"),
+        (F.col("id").cast("long") if "id" in raw.columns else F.lit(None).cast("long")).alias("row_id"),
     ).where("cn_name <> ''")
 
 
@@ -50,7 +52,8 @@ _EITHER = ("frequency", "industry")
 def two_sources(a: DataFrame, b: DataFrame, name_a: str, name_b: str) -> DataFrame:
     """Normalised rows of two sources, met by name: a's text wins, larger numbers win and differences are noted,
     organizers stand side by side if they differ. Of b's rows with one name the last url counts. data_source says
-    where a row is from."""
+    where a row is from, and place its turn in a run: a's rows by id, then what only b has."""
+    b = b.withColumn("row_id", F.min("row_id").over(Window.partitionBy("cn_name")))
     b = R.latest_per_key(b, ["cn_name"], [F.desc("source_url")])
     x, y = a.alias("a"), b.alias("b")
     both = x.join(y, F.col("a.cn_name") == F.col("b.cn_name"), "full_outer")
@@ -66,6 +69,7 @@ def two_sources(a: DataFrame, b: DataFrame, name_a: str, name_b: str) -> DataFra
     out.append(F.concat_ws("；", *notes).alias("notes"))
     out.append(F.filter(F.array("a.source_url", "b.source_url"), lambda u: X.blank_to_null(u).isNotNull()).alias("source_urls"))
     out.append(F.when(has_a & has_b, f"{name_a}+{name_b}").when(has_a, name_a).otherwise(name_b).alias("data_source"))
+    out.append(F.struct(F.when(has_a, 0).otherwise(1).alias("source"), F.coalesce("a.row_id", "b.row_id").alias("row"), F.coalesce("a.cn_name", "b.cn_name").alias("name")).alias("place"))
     return both.select(*out)
 
 
@@ -80,32 +84,59 @@ def numbered_rows(rows: DataFrame, key: str, parts: int = 1024) -> DataFrame:
 
 
 def matched_brands(merged: DataFrame, brands: DataFrame) -> DataFrame:
-    """merged with brand_id: by equal name, else by the one clearly closest name, else a new id. New ids follow the
-    largest number in use; equal new names share one."""
-    exact = R.latest_per_key(brands.where("name_cn <> ''").select(F.col("brand_id").alias("exact_id"), F.col("name_cn").alias("exact_name")), ["exact_name"], [F.col("exact_id")])
+    """merged with brand_id: by equal name, else by the one clearly closest name, known before or new in this run and
+    earlier in turn (place), else a new id. Rows of one name share a brand, found at the first one's turn. New ids
+    follow the largest number in use, in turn. is_new marks the names that became brands."""
+    named = brands.where("name_cn <> ''")
+    exact = R.latest_per_key(named.select(F.col("brand_id").alias("exact_id"), F.col("name_cn").alias("exact_name")), ["exact_name"], [F.col("exact_id")])
     first = merged.join(exact, F.col("cn_name") == F.col("exact_name"), "left").drop("exact_name")
-    left = first.where("exact_id is null").select("cn_name").distinct()
-    close = best_match(left, brands.where("name_cn <> ''").select("brand_id", "name_cn"), "cn_name", "name_cn", "brand_id").select("cn_name", F.col("match").alias("close_id"))
-    found = first.join(close, "cn_name", "left").withColumn("found", F.coalesce("exact_id", "close_id"))
+    left = cut(first.where("exact_id is null").groupBy(F.col("cn_name").alias("name")).agg(F.min("place").alias("place")))
+    found = ordered_leaders(left, named.select(F.col("brand_id").alias("key"), F.col("name_cn").alias("name")))
     top = F.broadcast(brands.agg(F.coalesce(F.max(F.regexp_extract("brand_id", NEW_ID, 1).try_cast("int")), F.lit(0)).alias("top")))
-    fresh = found.where("found is null").select("cn_name").distinct()
-    numbered = numbered_rows(fresh, "cn_name").crossJoin(top)
-    ids = numbered.select("cn_name", F.concat(F.lit("EXPO-"), F.lpad((F.col("top") + F.col("n")).cast("string"), 4, "0")).alias("new_id"))
-    return found.join(ids, "cn_name", "left").withColumn("brand_id", F.coalesce("found", "new_id")).withColumn("is_new", F.col("found").isNull()).drop("exact_id", "close_id", "found", "new_id")
+    fresh = numbered_in_order(left.join(found.where("is_leader").select("name"), "name"), "place").crossJoin(top)
+    ids = fresh.select(F.col("name").alias("leader"), F.format_string("EXPO-%04d", F.col("top") + F.col("n")).alias("new_id"))
+    brand = found.join(ids, "leader", "left").select(F.col("name").alias("cn_name"), F.coalesce("known_key", "new_id").alias("run_id"), "is_leader")
+    out = first.join(brand, "cn_name", "left")
+    return out.withColumns({"brand_id": F.coalesce("exact_id", "run_id"), "is_new": F.coalesce("is_leader", F.lit(False))}).drop("exact_id", "run_id", "is_leader")
 
 
-def merge_run(brands: DataFrame, editions: DataFrame, provenance: DataFrame, raw_a: DataFrame, raw_b: DataFrame, batch: str, now: str, name_a: str = "site_a", name_b: str = "site_b") -> dict[str, DataFrame]:
+def known_brands(merged: DataFrame, brands: DataFrame) -> DataFrame:
+    """merged with found: if a row's name matches a brand that was there before the run."""
+    named = brands.where("name_cn <> ''")
+    exact = named.select(F.col("name_cn").alias("cn_name"), F.lit(True).alias("is_exact")).distinct()
+    first = merged.join(exact, "cn_name", "left")
+    left = first.where("is_exact is null").select("cn_name").distinct()
+    close = best_match(left, named.select("brand_id", "name_cn"), "cn_name", "name_cn", "brand_id").select("cn_name", F.col("match").isNotNull().alias("is_close"))
+    return first.join(close, "cn_name", "left").withColumn("found", F.coalesce("is_exact", "is_close", F.lit(False))).drop("is_exact", "is_close")
+
+
+def _last_filled(c: str) -> Column:
+    """The last value in turn that isn't blank."""
+    return F.max(F.when(X.blank_to_null(F.col(c)).isNotNull(), F.struct("place", c)))[c]
+
+
+def merge_run(brands: DataFrame, editions: DataFrame, provenance: DataFrame, raw_a: DataFrame, raw_b: DataFrame, batch: str, now: str, name_a: str = "site_a", name_b: str = "site_b", dry_run: bool = False) -> dict[str, DataFrame]:
     """brands, editions, provenance after merging a crawl batch of two sources, and stats. Running it again on its own
-    result changes nothing but missing numbers, which become 0."""
+    result changes nothing but missing numbers, which become 0. A dry run gives the stats alone; as it creates nothing,
+    names are matched with what was there before, and each row without a match counts as created."""
     # what follows uses the merged rows four times; they are worked out once
-    merged = cut(two_sources(normalised_rows(raw_rows(raw_a, batch)), normalised_rows(raw_rows(raw_b, batch)), name_a, name_b))
+    batch_a = raw_rows(raw_a, batch)
+    merged = cut(two_sources(normalised_rows(batch_a), normalised_rows(raw_rows(raw_b, batch)), name_a, name_b))
+    nameless = F.coalesce(F.trim(X.first_filled(*[F.col(c) for c in ("cn_name", "name_cn") if c in raw_a.columns])), F.lit("")) == ""
+    skipped = batch_a.agg(F.count_if(nameless).alias("skipped"))
+    if dry_run:
+        counts = known_brands(merged, brands).agg(F.count("*").alias("rows"), F.count_if(~F.col("found")).alias("brands_created"), F.count_if("found").alias("brands_matched"), F.count_if(F.col("data_source").contains("+")).alias("in_both"))
+        return {"stats": counts.crossJoin(skipped).select("rows", "brands_created", "brands_matched", F.lit(0).cast("long").alias("editions_upserted"), F.lit(0).cast("long").alias("provenance_written"), "skipped", "in_both")}
     rows = cut(matched_brands(merged, brands))
-    one = R.latest_per_key(rows, ["brand_id"], [F.col("date_start").desc_nulls_last(), F.col("cn_name")])
-    new_brands = one.select("brand_id", F.col("cn_name").alias("name_cn"), F.col("en_name").alias("name_en"), "organizer", "city", "frequency", F.col("industry").alias("industry_raw"), F.lit(now).alias("updated_at"))
+    # rows of one brand, or one edition, count in their turn: the last filled text, the largest number
+    brand_text = {"name_en": "en_name", "organizer": "organizer", "city": "city", "frequency": "frequency", "industry_raw": "industry"}
+    new_brands = rows.groupBy("brand_id").agg(F.min(F.struct("place", "cn_name"))["cn_name"].alias("name_cn"), *[_last_filled(c).alias(n) for n, c in brand_text.items()], F.lit(now).alias("updated_at"))
     stamp = F.coalesce(X.blank_to_null(F.col("year").cast("string")), X.blank_to_null(F.col("date_start")), F.lit("undated"))
-    new_editions = R.latest_per_key(rows.select(
-        F.concat_ws("-", "brand_id", stamp).alias("edition_id"), "brand_id", F.coalesce("year", F.lit(0)).alias("year"), "date_start", "date_end", "city", "venue", *_LARGEST, "data_source", F.lit(now).alias("recorded_at"), "notes",
-    ), ["edition_id"], [F.col("area_sqm").desc_nulls_last(), F.col("date_start").desc()])
+    sources = F.array_sort(F.flatten(F.collect_set(F.split("data_source", r"\+"))))  # at most the two
+    new_editions = rows.withColumn("edition_id", F.concat_ws("-", "brand_id", stamp)).groupBy("edition_id", "brand_id").agg(
+        F.coalesce(F.max("year"), F.lit(0)).alias("year"), *[_last_filled(c).alias(c) for c in ("date_start", "date_end", "city", "venue", "notes")], *[F.max(c).alias(c) for c in _LARGEST],
+        F.concat_ws("+", *[F.when(F.array_contains(sources, n), n) for n in (name_a, name_b)]).alias("data_source"), F.lit(now).alias("recorded_at"),
+    )
     known_sources = editions.select("edition_id", F.col("data_source").alias("old_source"))
     lattice = X.source_lattice(F.coalesce("old_source", F.lit("")), F.col("data_source"), name_a, name_b, MANUAL)
     new_editions = new_editions.join(known_sources, "edition_id", "left").withColumn("data_source", lattice).drop("old_source")
@@ -115,7 +146,10 @@ def merge_run(brands: DataFrame, editions: DataFrame, provenance: DataFrame, raw
         "brands": R.upsert(brands, new_brands, "brand_id", overwrite=["name_en", "organizer", "city", "frequency", "industry_raw", "updated_at"]),
         "editions": R.upsert(editions, new_editions, "edition_id", overwrite=["date_start", "date_end", "city", "venue", "data_source", "recorded_at", "notes", "year"], greatest=list(_LARGEST)),
         "provenance": R.insert_ignore(provenance, links, ["brand_id", "source_url"], [F.col("record_id")]),
-        "stats": rows.agg(F.count("*").alias("rows"), F.count_if("is_new").alias("new_brands"), F.count_if(F.col("data_source").contains("+")).alias("in_both")),
+        "stats": rows.agg(
+            F.count("*").alias("rows"), F.count_distinct(F.when(F.col("is_new"), F.col("brand_id"))).alias("brands_created"), F.coalesce(F.sum(F.size("source_urls").cast("long")), F.lit(0)).alias("provenance_written"),
+            F.count_if(F.col("data_source").contains("+")).alias("in_both"),
+        ).crossJoin(skipped).select("rows", "brands_created", (F.col("rows") - F.col("brands_created")).alias("brands_matched"), F.col("rows").alias("editions_upserted"), "provenance_written", "skipped", "in_both"),
     }
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("reading", "governing", "desk")
+_MODULES = ("reading", "governing", "desk", "merging")
 
 
 def _all(what: str) -> dict:

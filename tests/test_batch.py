@@ -36,7 +36,7 @@ def test_merge_is_idempotent(spark):
     two = B.merge_run(*[one[k] for k in ("brands", "editions", "provenance")], a, b, "B1", "2026-01-02")
     again = {r.brand_id: r.area_sqm for r in two["editions"].collect()}
     assert len(again) == 3 and again[new_id] == 0
-    assert two["stats"].first().new_brands == 0 and two["provenance"].count() == 4
+    assert two["stats"].first().brands_created == 0 and two["provenance"].count() == 4
 
 
 def test_ratio_is_difflibs_and_pruning_loses_nothing(spark):
