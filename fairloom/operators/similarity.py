@@ -157,6 +157,43 @@ def best_match(names: DataFrame, known: DataFrame, name: str, known_name: str, k
     return names.join(top.select(name, "best", F.when(sure, F.col("key_")).alias("match")), name, "left")
 
 
+def block_candidates(rows: DataFrame, threshold: float) -> DataFrame:
+    """block, a, b: pairs a < b of different strings of one block that hold all of ratio threshold or more, in whatever
+    order the ratio is taken. rows: block, s.
+
+    Prefix filtering within blocks, for each pair of lengths by itself: strings of n and m characters must share at
+    least k = t (n + m) / 2 of them, counted with their multiplicity, so they share one of the first n - k + 1 and
+    m - k + 1 of their characters, in any one order. The order is that of the block, its rarest characters first. The
+    join key is block, both lengths and a character, so a block of any size is spread over very many keys. The bound on
+    common characters cuts further before anything is scored.
+    """
+    t = threshold
+    strings = rows.where("s <> ''").select("block", "s").distinct()
+    tokens = strings.select("block", "s", F.char_length("s").alias("n"), F.explode(letters(F.col("s"))).alias("g"))
+    often = tokens.groupBy("block", "g").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("block", "s").orderBy("often", "g"))
+    placed = tokens.join(often, ["block", "g"]).withColumn("place", place)
+    n = F.col("n")
+    partners = F.sequence(F.ceil(n * (t / (2 - t)) - 1e-9).cast("int"), F.floor(n * ((2 - t) / t) + 1e-9).cast("int"))
+    # a character no other string of the block has takes its place, but leads to no one
+    first = placed.where("often > 1").withColumn("m", F.explode(partners)).where(F.col("place") <= n - F.ceil((n + F.col("m")) * (t / 2) - 1e-9) + 1)
+    low = first.where("n <= m").select("block", "g", n.alias("lo"), F.col("m").alias("hi"), F.col("s").alias("x"))
+    high = first.where("n >= m").select("block", "g", F.col("m").alias("lo"), n.alias("hi"), F.col("s").alias("y"))
+    met = low.join(high, ["block", "g", "lo", "hi"]).where((F.col("lo") < F.col("hi")) | (F.col("x") < F.col("y")))
+    pairs = met.select("block", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs.where(letter_bound(letters(F.col("a")), letters(F.col("b"))) >= t - 1e-9)
+
+
+def block_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """block, a, b, ab, ba: pairs of different strings of one block with both ratios, one at least threshold. Strings
+    that meet in several blocks are scored once."""
+    found = block_candidates(rows, threshold)
+    score = ratio_from(threshold)
+    scored = found.select("a", "b").distinct().sortWithinPartitions("b")
+    scored = scored.withColumn("ab", score("a", "b")).withColumn("ba", score("b", "a")).where(F.greatest("ab", "ba") >= threshold)
+    return found.join(scored, ["a", "b"]).select("block", "a", "b", "ab", "ba")
+
+
 LEVELS = ("D0", "L0", "L1", "L2", "L3")
 
 
@@ -164,55 +201,61 @@ def duplicate_pairs(brands: DataFrame) -> DataFrame:
     """Pairs of brands likely to be the same, with level and sim: for each pair the first level that holds.
 
     brands: id, name, organizer, city, start (ISO day), l1, l2. D0 same organizer, city and day, 0.80; L0 same
-    organizer, city and month, 0.85; L1 same normalised name of at least four characters; L2 same organizer and city,
-    compatible l2, 0.80; L3 same organizer, compatible l1, 0.75. Each level is a join on its own block key.
+    organizer, city and month of the year, 0.85; L1 same normalised name of at least four characters; L2 same organizer
+    and city, compatible l2, 0.80; L3 same organizer, compatible l1, 0.75. All but L1 lie within an organizer at 0.75,
+    so names are compared once per organizer; equal names meet by a join on them. The ratio of two brands is taken in
+    the order of organizer, city and name. A brand may have several rows; it is no duplicate of itself.
     """
-    rows = brands.select("id", "name", F.trim(F.coalesce("organizer", F.lit(""))).alias("org"), F.trim(F.coalesce("city", F.lit(""))).alias("city"), F.coalesce("start", F.lit("")).alias("start"), F.coalesce("l1", F.lit("")).alias("l1"), F.coalesce("l2", F.lit("")).alias("l2"))
-    rows = rows.withColumn("norm", normalize_name(F.col("name"))).withColumn("month", F.substring("start", 1, 7)).withColumn("letters", letters(F.col("norm"))).distinct()
+    clean = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    rows = brands.select("id", F.coalesce("name", F.lit("")).alias("name"), clean("organizer").alias("org"), clean("city").alias("city"), F.coalesce("start", F.lit("")).alias("start"), clean("l1").alias("l1"), clean("l2").alias("l2"))
+    rows = rows.withColumn("norm", normalize_name(F.col("name"))).withColumn("month", F.when(F.char_length("start") >= 7, F.substring("start", 6, 2)).otherwise("")).distinct()
     sane = rows.where((F.col("org") != "") & (F.col("org") != "test") & (F.col("norm") != ""))
-    compatible = lambda c: (F.col(f"a.{c}") == F.col(f"b.{c}")) | (F.col(f"a.{c}") == "") | (F.col(f"b.{c}") == "")
-
-    def block(source: DataFrame, keys: list[str], level: int, threshold: float | None, more: Column | None = None) -> DataFrame:
-        a, b = source.alias("a"), source.alias("b")
-        meet = F.col("a.id") < F.col("b.id")
-        for k in keys:
-            meet = meet & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-        pairs = a.join(b, meet if more is None else meet & more)
-        if threshold is not None:
-            near = (length_bound(F.col("a.norm"), F.col("b.norm")) >= threshold) & (letter_bound(F.col("a.letters"), F.col("b.letters")) >= threshold - 1e-9)
-            pairs = pairs.where(near)
-        return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.norm").alias("na"), F.col("b.norm").alias("nb"), F.lit(level).alias("rank"), F.lit(threshold or 0.0).alias("least")).distinct()
-
-    found = [
-        block(sane.where("city <> '' and start <> ''"), ["org", "city", "start"], 0, 0.80),
-        block(sane.where("city <> '' and month <> ''"), ["org", "city", "month"], 1, 0.85),
-        block(rows.where(F.char_length("norm") >= 4), ["norm"], 2, None),
-        block(sane.where("city <> ''"), ["org", "city"], 3, 0.80, compatible("l2")),
-        block(sane, ["org"], 4, 0.75, compatible("l1")),
-    ]
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    scored = every.withColumn("sim", F.when(F.col("na") == F.col("nb"), 1.0).otherwise(ratio("na", "nb"))).where("sim >= least")
-    best = scored.groupBy("a", "b").agg(F.min("rank").alias("rank"), F.max("sim").alias("sim"))
+    similar = block_pairs(sane.select(F.col("org").alias("block"), F.col("norm").alias("s")), 0.75)
+    fields = ("id", "name", "city", "start", "month", "l1", "l2", "norm")
+    side = lambda df, n: df.select("org", *[F.col(c).alias(f"{c}_{n}") for c in fields])
+    near = similar.withColumnsRenamed({"block": "org", "a": "norm_1", "b": "norm_2"}).join(side(sane, 1), ["org", "norm_1"]).join(side(sane, 2), ["org", "norm_2"])
+    first = F.struct("city_1", "name_1", "id_1") < F.struct("city_2", "name_2", "id_2")
+    near = near.withColumn("sim", F.when(first, F.col("ab")).otherwise(F.col("ba"))).drop("ab", "ba")
+    equal = side(sane, 1).join(side(sane, 2).withColumnRenamed("norm_2", "norm_1"), ["org", "norm_1"]).where("id_1 < id_2").withColumn("sim", F.lit(1.0))
+    compatible = lambda c: (F.col(f"{c}_1") == F.col(f"{c}_2")) | (F.col(f"{c}_1") == "") | (F.col(f"{c}_2") == "")
+    same = lambda c: (F.col(f"{c}_1") == F.col(f"{c}_2")) & (F.col(f"{c}_1") != "")
+    level = (
+        F.when(same("city") & same("start") & (F.col("sim") >= 0.80), 0).when(same("city") & same("month") & (F.col("sim") >= 0.85), 1)
+        .when(same("city") & compatible("l2") & (F.col("sim") >= 0.80), 3).when(compatible("l1") & (F.col("sim") >= 0.75), 4)
+    )
+    columns = ["id_1", "id_2", "sim", "rank"]
+    within = near.drop("norm_1", "norm_2").unionByName(equal.drop("norm_1")).withColumn("rank", level).where("rank is not null and id_1 <> id_2").select(columns)
+    named = rows.where(F.char_length("norm") >= 4).select("id", "norm").distinct()
+    by_name = named.withColumnRenamed("id", "id_1").join(named.withColumnRenamed("id", "id_2"), "norm").where("id_1 < id_2").select("id_1", "id_2", F.lit(1.0).alias("sim"), F.lit(2).alias("rank"))
+    every = within.unionByName(by_name).select(F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b"), "rank", "sim")
+    best = every.groupBy("a", "b").agg(F.min("rank").alias("rank"), F.max("sim").alias("sim"))
     return best.select("a", "b", F.get(F.array(*map(F.lit, LEVELS)), F.col("rank")).alias("level"), F.round("sim", 4).alias("sim"))
 
 
 def review_layers(brands: DataFrame, threshold: float = 0.80) -> DataFrame:
     """Pairs within organizer and city for review: keep, merge, layer A1 (same normalised name), A2 (similar), B (same
-    venue and English name) or C (same venue and period). The brand with more editions is kept, then the smaller id."""
-    rows = brands.select("id", "name", "name_en", "venue", "start", "end", "editions", F.trim(F.coalesce("organizer", F.lit(""))).alias("org"), F.trim(F.coalesce("city", F.lit(""))).alias("city"))
-    rows = rows.where("org <> '' and org <> 'test' and city <> ''").withColumns({"norm": normalize_name(F.col("name")), "en": norm_en(F.col("name_en")), "place": F.trim(F.coalesce("venue", F.lit("")))}).withColumn("letters", letters(F.col("norm")))
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.org") == F.col("b.org")) & (F.col("a.city") == F.col("b.city")) & (F.col("a.id") < F.col("b.id")))
-    near = (length_bound(F.col("a.norm"), F.col("b.norm")) >= threshold) & (letter_bound(F.col("a.letters"), F.col("b.letters")) >= threshold - 1e-9)
-    there = (F.col("a.place") != "") & (F.col("a.place") == F.col("b.place"))
-    same_en = there & (F.col("a.en") != "") & (F.col("a.en") == F.col("b.en"))
-    same_time = there & (F.coalesce("a.start", F.lit("")) != "") & (F.col("a.start") == F.col("b.start")) & F.col("a.end").eqNullSafe(F.col("b.end"))
-    pairs = pairs.where(near | same_en | same_time).select(
-        F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.norm").alias("na"), F.col("b.norm").alias("nb"), F.col("a.editions").alias("ea"), F.col("b.editions").alias("eb"),
-        F.coalesce(same_en, F.lit(False)).alias("same_en"), F.coalesce(same_time, F.lit(False)).alias("same_time"),
-    ).withColumn("sim", ratio("na", "nb"))
-    layer = F.when((F.col("na") != "") & (F.col("na") == F.col("nb")), "A1").when(F.col("sim") >= threshold, "A2").when(F.col("same_en"), "B").when(F.col("same_time"), "C")
-    swap = F.col("eb") > F.col("ea")
-    return pairs.withColumn("layer", layer).where("layer is not null").select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("keep"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("merge"), "layer", F.round("sim", 4).alias("sim"))
+    venue and English name) or C (same venue and period). The brand with more editions is kept, then the smaller id.
+    Each layer has a join of its own: on equal names, on similar names of a block, on venue and English name, on venue
+    and period; no block is paired with itself as a whole."""
+    clean = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    rows = brands.select("id", "name", "name_en", "venue", "start", "end", "editions", clean("organizer").alias("org"), clean("city").alias("city"))
+    rows = rows.where("org <> '' and org <> 'test' and city <> ''").withColumns({"norm": normalize_name(F.col("name")), "en": norm_en(F.col("name_en")), "place": clean("venue"), "block": F.struct("org", "city")})
+    rows = rows.withColumn("start", F.coalesce("start", F.lit(""))).withColumn("end", F.coalesce("end", F.lit("\0")))
+
+    def met(keys: list[str], where: str, layer: int) -> DataFrame:
+        some = rows.where(where).select("block", *keys, F.struct("id", "editions", "norm").alias("x"))
+        pairs = some.withColumnRenamed("x", "p").join(some.withColumnRenamed("x", "q"), ["block", *keys]).where("p.id < q.id")
+        return pairs.select("p", "q", F.lit(layer).alias("rank"))
+
+    similar = block_pairs(rows.select("block", F.col("norm").alias("s")), threshold)
+    some = rows.select("block", "norm", F.struct("id", "editions", "norm").alias("x"))
+    near = similar.join(some.withColumnsRenamed({"norm": "a", "x": "p"}), ["block", "a"]).join(some.withColumnsRenamed({"norm": "b", "x": "q"}), ["block", "b"])
+    sure = F.when(F.col("p.id") < F.col("q.id"), F.col("ab")).otherwise(F.col("ba")) >= threshold
+    swapped = F.col("p.id") > F.col("q.id")
+    near = near.where(sure).select(F.when(swapped, F.col("q")).otherwise(F.col("p")).alias("p"), F.when(swapped, F.col("p")).otherwise(F.col("q")).alias("q"), F.lit(1).alias("rank"))
+    every = met(["norm"], "norm <> ''", 0).unionByName(near).unionByName(met(["place", "en"], "place <> '' and en <> ''", 2)).unionByName(met(["place", "start", "end"], "place <> '' and start <> ''", 3))
+    first = every.groupBy(F.col("p.id").alias("a"), F.col("q.id").alias("b")).agg(F.min("rank").alias("rank"), F.first("p").alias("p"), F.first("q").alias("q"))
+    first = first.withColumn("sim", F.when(F.col("rank") == 0, 1.0).otherwise(ratio(F.col("p.norm"), F.col("q.norm"))))
+    swap = F.col("q.editions") > F.col("p.editions")
+    layer = F.get(F.array(*map(F.lit, ("A1", "A2", "B", "C"))), F.col("rank"))
+    return first.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("keep"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("merge"), layer.alias("layer"), F.round("sim", 4).alias("sim"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("reading", "governing", "desk", "merging")
+_MODULES = ("reading", "governing", "desk", "merging", "sourcing")
 
 
 def _all(what: str) -> dict:

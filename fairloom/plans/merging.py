@@ -17,11 +17,11 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def checked(sql: str | None):
+def checked(sql: str | None, queries: dict = QUERIES, oracle: dict = ORACLE_SQL):
     def add(f):
-        QUERIES[f.__name__] = f
+        queries[f.__name__] = f
         if sql:
-            ORACLE_SQL[f.__name__] = sql
+            oracle[f.__name__] = sql
         return f
 
     return add

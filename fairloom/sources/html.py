@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from fairloom.functions.text import canonical_url
 
@@ -213,6 +215,86 @@ def view_model(c: Column, key: str) -> Column:
     return F.pandas_udf(lambda s: pd.Series([find(x) for x in s], dtype="object"), "string")(c)
 
 
+FAIR = (
+    "public_id string, name_cn string, name_en string, official_website string, date_start string, date_end string, location struct<city:string,hall:string>, "
+    "stats map<string,string>, exhibitors array<struct<public_id:string,name:string,booth:string>>, tags array<string>"
+)
+
+
+def united(first: Column, second: Column, key: str, fields: Sequence[str]) -> Column:
+    """Two lists of structs as one: the first's items, each field filled from the second's item of the same key, then
+    the second's other items. Null and empty lists are the same; items without a key are kept as they are."""
+    none = F.slice(F.coalesce(first, second), 1, 0)
+    a, b = F.coalesce(first, none), F.coalesce(second, none)
+    merged = F.transform(a, lambda x: F.struct(*[F.coalesce(x[f], F.get(F.filter(b, lambda y: y[key] == x[key]), F.lit(0))[f]).alias(f) for f in fields]))
+    return F.concat(merged, F.filter(b, lambda y: ~F.coalesce(F.exists(a, lambda x: x[key] == y[key]), F.lit(False))))
+
+
+def two_paths(first: Column, second: Column, keys: dict[str, str]) -> dict[str, Column]:
+    """One nested record from two, both of the schema FAIR, and `origin`: for each field which of the two it is from
+    ('first', 'second', or 'both' for what is put together of both). Texts and structs' fields come from the first
+    unless it has none, maps and lists are united (lists of structs by keys: field -> key). If one record is null the
+    result is the other."""
+    schema = StructType.fromDDL(FAIR)
+    out: dict[str, Column] = {}
+    origin = []
+    for field in schema.fields:
+        a, b, kind = first[field.name], second[field.name], field.dataType
+        has_a, has_b = a.isNotNull(), b.isNotNull()
+        if isinstance(kind, StructType):
+            has_a, has_b = (functools.reduce(lambda x, y: x | y, [c[f].isNotNull() for f in kind.names]) for c in (a, b))
+            value = F.when(has_a | has_b, F.struct(*[F.coalesce(a[f], b[f]).alias(f) for f in kind.names]))
+        elif isinstance(kind, MapType):
+            has_a, has_b = F.size(a) > 0, F.size(b) > 0
+            value = F.when(has_a & has_b, F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, y))).when(has_a, a).otherwise(b)
+        elif isinstance(kind, ArrayType):
+            has_a, has_b = F.size(a) > 0, F.size(b) > 0
+            both = united(a, b, keys[field.name], kind.elementType.names) if field.name in keys else F.array_union(a, b)
+            value = F.when(has_a & has_b, both).when(has_a, a).otherwise(b)
+        else:
+            value = F.coalesce(a, b)
+        has_a, has_b = F.coalesce(has_a, F.lit(False)), F.coalesce(has_b, F.lit(False))
+        mixed = has_a & has_b if isinstance(kind, (StructType, MapType, ArrayType)) else F.lit(False)
+        origin.append(F.struct(F.lit(field.name).alias("key"), F.when(mixed, "both").when(has_a, "first").when(has_b, "second").alias("value")))
+        out[field.name] = value
+    return out | {"origin": F.map_from_entries(F.filter(F.array(*origin), lambda e: e["value"].isNotNull()))}
+
+
+def two_path_rows(pages: DataFrame, html: str = "html", key: str = "viewModel") -> DataFrame:
+    """pages with the nested record of their streamed data, completed from their rendered markup."""
+    streamed_record = F.from_json(view_model(F.col(html), key), FAIR)
+    rendered = F.pandas_udf(lambda s: pd.Series([json.dumps(rendered_record(x), ensure_ascii=False) for x in s]), "string")
+    rows = pages.withColumn("first_", streamed_record).withColumn("second_", F.from_json(rendered(F.col(html)), FAIR))
+    return rows.withColumns(two_paths(F.col("first_"), F.col("second_"), {"exhibitors": "public_id"})).drop("first_", "second_")
+
+
+def rendered_record(page: str | None) -> dict:
+    """What only the rendered page says: the website, figures by label, and linked exhibitors, each once."""
+    root, out = tree(page), {}
+
+    def block(field: str) -> Node | None:
+        return next((n for n in root.walk() if field in n.attrs.get("data-lingxi-preview-fields", "").split()), None)
+
+    site = block("officialWebsite")
+    links_ = [a for a in site.find_all("a") if a.attrs.get("href", "").strip()] if site else []
+    if links_:
+        out["official_website"] = links_[0].attrs["href"].strip()
+    figures = block("statisticsInfoList")
+    for box in figures.find_all() if figures else ():
+        labels = [k for k in box.kids if isinstance(k, Node) and k.tag == "p"]
+        number = box.find("span")
+        for label in labels if number else ():
+            out.setdefault("stats", {})[label.text()] = number.text()
+    found: dict[str, str] = {}
+    for a in root.find_all("a"):
+        name = (a.attrs.get("aria-label") or a.text()).strip()
+        if a.attrs.get("href", "").startswith("/exhibitor/") and name:
+            found.setdefault(a.attrs["href"].rsplit("/", 1)[-1], name)
+    if found:
+        out["exhibitors"] = [{"public_id": k, "name": v} for k, v in found.items()]
+    return out
+
+
 def is_wall(c: Column, markers: tuple[str, ...], required: tuple[str, ...] = ()) -> Column:
     """A page that hides its content: it has a marker, or lacks what every real page has."""
     wall = F.lit(False)
