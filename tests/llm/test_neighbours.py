@@ -91,3 +91,29 @@ def test_few_rows(spark):
     assert neighbours.neighbour_report(one).count() == 0
     three = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 0.0]), (2, [-1.0, 0.0]), (2, [-1.0, 0.0])], schema)
     assert [(r.rank, r.vec_id, r.score) for r in neighbours.neighbour_report(three).orderBy("rank").collect()] == [(1, 1, 1.0), (2, 2, -1.0), (3, 2, -1.0)]
+
+
+@pytest.mark.parametrize("kind", ["one long vector", "log-normal"])
+def test_unequal_norms_are_pruned_too(spark, kind):
+    given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    x, ids = np.array([r.embedding for r in given], float), np.array([r.vec_id for r in given])
+    rng = np.random.default_rng(8)
+    if kind == "one long vector":
+        x[7] *= 100
+    else:
+        x *= np.exp(rng.normal(size=len(x)))[:, None]
+    df = spark.createDataFrame([(int(i), v.tolist(), "x", 0) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>, score string, id int")
+    tally = {name: spark.sparkContext.accumulator(0) for name in ("asked", "verified", "blocks")}
+    got = {}
+    for r in neighbours.nearest(df, df.where("vec_id % 20 = 0"), 20, tally=tally).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits, queries = 0, np.flatnonzero(ids % 20 == 0)
+    for q in queries:
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[ids[q]] & set(ids[np.argsort(-s)[:20]].tolist()))
+    visited = tally["asked"].value / (len(queries) * tally["blocks"].value)
+    verified = tally["verified"].value / (len(queries) * len(ids))
+    print(kind, hits / (20 * len(queries)), visited, verified)
+    assert hits / (20 * len(queries)) >= 0.9 and verified < 0.15
+    assert visited < 0.55 or kind == "one long vector"
