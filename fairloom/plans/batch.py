@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fairloom.functions import text as X
 from fairloom.operators import relational as R
+from fairloom.operators.containment import containing
 from fairloom.operators.graph import connected_components
 from fairloom.operators.leaders import numbered_in_order, ordered_leaders
 from fairloom.operators.similarity import best_match, duplicate_pairs, ratio, scored_pairs
@@ -341,24 +342,39 @@ def category_matches(names: DataFrame, categories: DataFrame, accept: float = 0.
     return best.select("name", "category", "sim", F.when(F.col("sim") >= accept, "accept").otherwise("review").alias("verdict"))
 
 
-def cascade_matches(wanted: DataFrame, brands: DataFrame, least: int = 6, fuzzy: float = 0.80) -> DataFrame:
-    """name, brand_id, step: the first way that finds a brand. Steps: equal English name, equal Chinese name, a common
-    beginning of 10, 8, then 6 characters, similar names. What a step finds, the next doesn't look for."""
-    left = wanted.select("name").distinct().where("name <> ''")
+# An organizer's names as they stand in a wanted name, and as it stands among brands' organizers.
+ORGANIZER_KEYWORDS = ((("杜塞尔", "dusseldorf"), "杜塞尔"),)
+
+
+def cascade_matches(wanted: DataFrame, brands: DataFrame, least: int = 6, fuzzy: float = 0.80, keywords: Sequence[tuple[Sequence[str], str]] = ORGANIZER_KEYWORDS) -> DataFrame:
+    """name, brand_id, step: the first way that finds a brand. Steps: equal English name, equal Chinese name, a Chinese
+    name that contains the first 10, 8, then 6 characters (of names of four or more), an organizer that a keyword in the
+    name stands for, similar names. What a step finds, the next doesn't look for; of several brands the smallest id
+    counts, but for similar names the most similar."""
+    left = cut(wanted.select("name").distinct().where("name <> ''"))
     found = None
 
     def take(hits: DataFrame, step: str) -> None:
         nonlocal left, found
-        one = hits.groupBy("name").agg(F.min("brand_id").alias("brand_id")).withColumn("step", F.lit(step))
+        # every step's names come from the step before: each is worked out once
+        one = cut(hits.groupBy("name").agg(F.min("brand_id").alias("brand_id")).withColumn("step", F.lit(step)))
         found = one if found is None else found.unionByName(one)
-        left = left.join(one.select("name"), "name", "left_anti")
+        left = cut(left.join(one.select("name"), "name", "left_anti"))
 
     for column in ("name_en", "name_cn"):
         known = brands.where(F.coalesce(column, F.lit("")) != "").select("brand_id", F.lower(column).alias("k"))
         take(left.join(known, F.lower("name") == F.col("k")), column)
+    lowered = brands.select("brand_id", F.lower("name_cn").alias("whole")).where("whole <> ''")
     for n in (10, 8, 6):
-        heads = brands.where(F.char_length("name_cn") >= n).select("brand_id", F.substring("name_cn", 1, n).alias("k"))
-        take(left.where(F.char_length("name") >= n).join(heads, F.substring("name", 1, n) == F.col("k")), f"first {n}")
+        parts = left.where(F.char_length("name") >= 4).select("name", F.lower(F.substring("name", 1, n)).alias("part"))
+        met = containing(lowered, parts, "whole", "part")
+        take(parts.join(met, "part").join(lowered, "whole"), f"first {n}")
+    if "organizer" in brands.columns and keywords:
+        groups = brands.sparkSession.createDataFrame([(k.lower(), o) for names, o in keywords for k in names], "keyword string, organizer_word string")
+        low = left.select("name", F.lower("name").alias("low"))
+        named = low.join(containing(low, groups, "low", "keyword"), "low").join(F.broadcast(groups), "keyword")  # as many rows as keywords
+        owned = containing(brands, groups, "organizer", "organizer_word")
+        take(named.join(owned, "organizer_word").join(brands.select("brand_id", "organizer"), "organizer"), "organizer")
     close = scored_pairs(left.where(F.char_length("name") >= least), brands.where("name_cn <> ''").select("brand_id", "name_cn"), "name", "name_cn", fuzzy)
     take(R.latest_per_key(close, ["name"], [F.desc("sim"), F.col("brand_id")]), "similar")
     return found

@@ -93,3 +93,88 @@ def merge_run_stats(spark, sf_dir):
 def merge_dry_run(spark, sf_dir):
     state, a, b = _fairs(spark, sf_dir)
     return B.merge_run(*state, a, b, "B1", "2026-01-01", dry_run=True)["stats"]
+
+
+@checked("""WITH h AS (SELECT page_id, url FROM pages), n AS (SELECT DISTINCT regexp_extract(url, '://([^/?#]+)', 1) AS host FROM pages WHERE page_id % 10 = 0)
+SELECT DISTINCT url, host FROM h JOIN n ON contains(url, host)""")
+def contains_join(spark, sf_dir):
+    """Addresses that contain one of some hosts' names, without comparing all of them."""
+    from fairloom.operators.containment import containing
+
+    pages = table(spark, sf_dir, "pages")
+    hosts = pages.where("page_id % 10 = 0").select(F.regexp_extract("url", "://([^/?#]+)", 1).alias("host"))
+    return containing(pages, hosts, "url", "host")
+
+
+@checked(f"""WITH b AS (SELECT c_custkey::BIGINT AS k, {_HAN} AS base FROM customer),
+w AS (SELECT k, k % 6 AS kind, base FROM b WHERE k % 2 = 0 OR k % 7 = 0)
+SELECT CASE kind WHEN 0 THEN 'FAIR ' || k WHEN 1 THEN base WHEN 2 THEN base[3:8] WHEN 3 THEN base[2:5] ELSE '杜塞尔' || k END AS name,
+  CASE WHEN kind >= 4 THEN (SELECT min('B' || k) FROM b WHERE k % 50 = 3) ELSE 'B' || k END AS brand_id,
+  CASE kind WHEN 0 THEN 'name_en' WHEN 1 THEN 'name_cn' WHEN 2 THEN 'first 10' WHEN 3 THEN 'first 10' ELSE 'organizer' END AS step FROM w""")
+def cascade_steps(spark, sf_dir):
+    """Names to be found by each step of the cascade: English, Chinese, a part of a name, an organizer's keyword."""
+    k = F.col("c_custkey").cast("long")
+    people = table(spark, sf_dir, "customer").select(k.alias("k"), han(k).alias("base"))
+    organizer = F.when(F.col("k") % 50 == 3, "德国杜塞尔多夫展览公司").otherwise(F.concat(F.lit("公司"), F.col("k").cast("string")))
+    brands = people.select(F.concat(F.lit("B"), F.col("k").cast("string")).alias("brand_id"), F.col("base").alias("name_cn"), F.concat(F.lit("Fair "), F.col("k").cast("string")).alias("name_en"), organizer.alias("organizer"))
+    kind = F.col("k") % 6
+    name = F.when(kind == 0, F.concat(F.lit("FAIR "), F.col("k").cast("string"))).when(kind == 1, F.col("base")).when(kind == 2, F.substring("base", 3, 6)).when(kind == 3, F.substring("base", 2, 4)).otherwise(F.concat(F.lit("杜塞尔"), F.col("k").cast("string")))
+    return B.cascade_matches(people.where("k % 2 = 0 or k % 7 = 0").select(name.alias("name")), brands)
+
+
+@checked("""WITH have AS (SELECT 'b' || s_suppkey % 9 AS b, CASE WHEN s_suppkey % 4 <> 0 THEN 'k' || s_suppkey END AS q, s_name AS n FROM supplier),
+new AS (SELECT CASE WHEN c_custkey % 10 <> 0 THEN 'b' || c_custkey % 9 END AS b, CASE WHEN c_custkey % 4 <> 0 THEN 'k' || c_custkey END AS q,
+  CASE WHEN c_custkey % 25 = 0 THEN ' ' WHEN c_custkey % 4 = 0 THEN 'Supplier#' || lpad((c_custkey % 40)::VARCHAR, 9, '0') ELSE c_name END AS n, c_custkey FROM customer)
+SELECT b AS brand_id, q AS qcc_key_no, n AS name FROM new WHERE trim(n) <> '' AND q IS NOT NULL AND NOT EXISTS (SELECT 1 FROM have WHERE have.b = new.b AND have.q = new.q)
+UNION ALL SELECT DISTINCT b, q, n FROM new WHERE trim(n) <> '' AND q IS NULL AND NOT EXISTS (SELECT 1 FROM have WHERE have.b IS NOT DISTINCT FROM new.b AND have.n = new.n)""")
+def prospects_inserted(spark, sf_dir):
+    text = lambda c: F.col(c).cast("string")
+    s, c = F.col("s_suppkey"), F.col("c_custkey")
+    have = table(spark, sf_dir, "supplier").select(F.concat(F.lit("b"), (s % 9).cast("string")).alias("brand_id"), F.when(s % 4 != 0, F.concat(F.lit("k"), text("s_suppkey"))).alias("qcc_key_no"), F.col("s_name").alias("name"))
+    name = F.when(c % 25 == 0, " ").when(c % 4 == 0, F.concat(F.lit("Supplier#"), F.lpad((c % 40).cast("string"), 9, "0"))).otherwise(F.col("c_name"))
+    new = table(spark, sf_dir, "customer").select(F.when(c % 10 != 0, F.concat(F.lit("b"), (c % 9).cast("string"))).alias("brand_id"), F.when(c % 4 != 0, F.concat(F.lit("k"), text("c_custkey"))).alias("qcc_key_no"), name.alias("name"))
+    return B.new_prospects(have, new)[0]
+
+
+@checked("""WITH sheet AS (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN '3' WHEN 2 THEN '9' ELSE '1' END AS v, (c_custkey % 5 + 1)::INT AS old FROM customer WHERE c_custkey % 3 <> 0)
+SELECT 'B' || k AS brand_id, old::VARCHAR AS old_value, v AS new_value FROM sheet WHERE v IN ('1', '3') AND v <> old::VARCHAR""")
+def tags_imported(spark, sf_dir):
+    """History of a tag sheet with blanks, values out of range and values that change nothing."""
+    k = F.col("c_custkey")
+    people = table(spark, sf_dir, "customer")
+    ids = F.concat(F.lit("B"), k.cast("string")).alias("brand_id")
+    brands = schema.empty(spark, "exhibition_brand").unionByName(people.select(ids, F.col("c_name").alias("name_cn"), (k % 5 + 1).cast("int").alias("ma_potential")), allowMissingColumns=True)
+    sheet = people.where(k % 3 != 0).select(ids, F.element_at(F.array(*map(F.lit, ("", "3", "9", "1"))), (k % 4 + 1).cast("int")).alias("ma_potential"))
+    return B.imported_tags(brands, sheet, "2026-01-01", "me")["history"].select("brand_id", "old_value", "new_value")
+
+
+@checked("""WITH e AS (SELECT o_orderkey AS k, o_orderkey // 3 AS g, o_orderkey % 3 AS i, floor(o_totalprice)::BIGINT AS area FROM orders),
+named AS (SELECT *, CASE g % 3 WHEN 0 THEN 'Fair ' || g || substr(' extra', 1, i * 3) WHEN 1 THEN CASE i WHEN 0 THEN 'abcdefgh' || g WHEN 1 THEN 'xbcdefgh' || g ELSE 'QRSTUVWXYZ' END ELSE chr((65 + i)::INT) || chr((75 + i)::INT) || chr((85 + i)::INT) END AS name FROM e),
+keyed AS (SELECT *, CASE WHEN g % 3 = 0 THEN 'all' WHEN g % 3 = 1 AND i < 2 THEN 'near' ELSE 'own' || i END AS part FROM named)
+SELECT min_by(name, (length(name), name)) AS name, 'V' || g AS venue, max(area) AS area, count(*) - 1 AS n_aliases FROM keyed GROUP BY g, part""")
+def folded_fairs(spark, sf_dir):
+    """Orders as fairs, three to a hall: with one beginning, with two similar names, and with nothing in common."""
+    k = F.col("o_orderkey")
+    g, i = F.floor(k / 3), k % 3
+    at = lambda values: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
+    near = F.when(i == 2, "QRSTUVWXYZ").otherwise(F.concat(at(("abcdefgh", "xbcdefgh", "")), g.cast("string")))
+    name = F.when(g % 3 == 0, F.concat(F.lit("Fair "), g.cast("string"), at(("", " ex", " extra")))).when(g % 3 == 1, near).otherwise(at(("AKU", "BLV", "CMW")))
+    rows = table(spark, sf_dir, "orders").select(name.alias("name"), F.lit("2026-01-01").alias("start"), F.lit("2026-01-03").alias("end"), F.concat(F.lit("V"), g.cast("string")).alias("venue"), F.floor("o_totalprice").cast("long").alias("area"))
+    found = B.folded_colocated(rows)
+    return found.select("name", "venue", "area", F.when(F.col("aliases") == "", 0).otherwise(F.size(F.split("aliases", "；"))).cast("long").alias("n_aliases"))
+
+
+@checked("""WITH t AS (SELECT 'B' || c_custkey AS brand_id, unnest([0, 1]) AS seq, unnest(['公司' || c_custkey % 40, '协会' || c_custkey % 7]) AS token, c_custkey FROM customer),
+e AS (SELECT 'B' || o_custkey AS brand_id, floor(o_totalprice)::BIGINT AS area FROM orders WHERE year(o_orderdate) = 1996)
+SELECT token AS canonical, sum(area)::BIGINT AS area, count(*) AS brands FROM e JOIN t USING (brand_id) GROUP BY token""")
+def organizers_ranked(spark, sf_dir):
+    """Two organizers a brand, split out of one string, indexed and ranked by the area of 1996."""
+    from fairloom.functions.organizers import organizer_index, rank_organizers
+
+    k = F.col("c_custkey")
+    brands = table(spark, sf_dir, "customer").select(F.concat(F.lit("B"), k.cast("string")).alias("brand_id"), F.concat(F.lit("公司"), (k % 40).cast("string"), F.lit("；"), F.lit("协会"), (k % 7).cast("string")).alias("organizer"))
+    editions = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("edition_id"), F.concat(F.lit("B"), F.col("o_custkey").cast("string")).alias("brand_id"), F.year("o_orderdate").alias("year"), F.floor("o_totalprice").cast("long").alias("area_sqm"),
+        F.lit("").alias("city"), F.lit(0).alias("exhibitors_count"))
+    found = rank_organizers(organizer_index(brands), editions, 1996, all_types=True)["ranking"]
+    return found.select("canonical", "area", "brands")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fairloom.functions import text as X
 from fairloom.operators import relational as R
+from fairloom.operators.containment import containing
 from fairloom.schema import DOMAINS
 
 Tables = Mapping[str, DataFrame]
@@ -273,7 +274,8 @@ def seed_hits(t: Tables, seeds: DataFrame) -> DataFrame:
     """Participations of seed agents (agent_id, vis_hash, name), by hash or by a name that contains the agent's."""
     rows = _walks(t)
     by_hash = rows.join(seeds.select("agent_id", "vis_hash"), "vis_hash").select("part_id", "agent_id")
-    by_name = rows.join(F.broadcast(seeds.where("name <> ''").select("agent_id", "name")), F.col("raw_name").contains(F.col("name"))).select("part_id", "agent_id")
+    met = containing(rows, seeds, "raw_name", "name")
+    by_name = rows.join(met, "raw_name").join(seeds.select("agent_id", "name"), "name").select("part_id", "agent_id")
     return by_hash.union(by_name).distinct()
 
 
