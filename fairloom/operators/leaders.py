@@ -80,9 +80,9 @@ def ordered_leaders(names: DataFrame, known: DataFrame, accept: float = 0.90, ma
 
 
 def numbered_in_order(rows: DataFrame, *order: str) -> DataFrame:
-    """rows with n, numbered from 1 in the given order without gaps. Rows are sorted over all partitions; only the
-    partitions' sizes, one row each, are summed up in one place."""
-    placed = cut(rows.orderBy(*order)).withColumn("id_", F.monotonically_increasing_id())
+    """rows with n, numbered from 1 in the given order (without one: in the order they have) without gaps. Rows are sorted
+    over all partitions; only the partitions' sizes, one row each, are summed up in one place."""
+    placed = cut(rows.orderBy(*order) if order else rows).withColumn("id_", F.monotonically_increasing_id())
     placed = placed.withColumns({"part_": F.shiftright("id_", 33), "in_part_": F.col("id_").bitwiseAND(F.lit((1 << 33) - 1))})
     sizes = placed.groupBy("part_").agg(F.count("*").alias("size_"))
     before = sizes.select("part_", (F.sum("size_").over(Window.orderBy("part_")) - F.col("size_")).alias("before_"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import html as entities
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Sequence
 from xml.etree import ElementTree
 
@@ -112,6 +114,53 @@ def forward_filled(rows: DataFrame, columns: Sequence[str], order: str, group: S
     return rows.withColumns({c: F.coalesce(v, F.lit("")) for c, v in filled.items()})
 
 
+_LOC = re.compile(rb"<loc>\s*(.*?)\s*</loc>", re.DOTALL)
+
+
+def sitemap_entries(content: bytes, piece: int = 1 << 20) -> tuple[str, list[str]]:
+    """Kind ('index' or 'urls') and addresses of a sitemap, plain or gzip; inflated and read piece by piece."""
+    inflate = zlib.decompressobj(31) if content[:2] == b"\x1f\x8b" else None
+    kind, found, held = "urls", [], b""
+    for at in range(0, len(content), piece):
+        part = content[at : at + piece]
+        held += inflate.decompress(part) if inflate else part
+        if b"<sitemapindex" in held:
+            kind = "index"
+        last = 0
+        for m in _LOC.finditer(held):
+            found.append(entities.unescape(m[1].decode("utf-8", "replace")))
+            last = m.end()
+        open_ = held.rfind(b"<", last)  # what may be the beginning of an entry stays for the next piece
+        start = held.find(b"<loc>", last)
+        held = held[start if start >= 0 else max(last, open_) :] if (start >= 0 or open_ >= 0) else b""
+    if inflate and not inflate.eof:
+        raise zlib.error("the file ends too early")
+    return kind, found
+
+
+def sitemaps(spark: SparkSession, path: str, pattern: str = r"/(\d+)(?:\.html?)?/?$") -> DataFrame:
+    """file_path, kind, problem, listed_by, url, id of all sitemaps under a folder: one row for each address, one without
+    an address for a sitemap without any and for a broken file (files of no bytes are passed over). listed_by: the index file that names the sitemap, by its file name; id: what
+    the pattern finds in an address."""
+
+    def read(contents: pd.Series) -> pd.DataFrame:
+        rows = []
+        for data in contents:
+            try:
+                rows.append((*sitemap_entries(bytes(data)), None))
+            except (zlib.error, EOFError) as problem:
+                rows.append((None, [], str(problem)))
+        return pd.DataFrame(rows, columns=["kind", "urls", "problem"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    said = files.select(F.col("path").alias("file_path"), F.pandas_udf(read, "struct<kind:string,urls:array<string>,problem:string>")("content").alias("s")).select("file_path", "s.*")
+    name = lambda c: F.element_at(F.split(F.regexp_replace(c, r"[?#].*$", ""), "/"), -1)
+    listed = said.where("kind = 'index'").select(F.col("file_path").alias("listed_by"), F.explode("urls").alias("u")).select("listed_by", name(F.col("u")).alias("name")).groupBy("name").agg(F.min("listed_by").alias("listed_by"))
+    rows = said.withColumn("name", name(F.col("file_path"))).join(listed, "name", "left")
+    found = F.regexp_extract("url", pattern, 1)
+    return rows.select("file_path", "kind", "problem", "listed_by", F.explode_outer("urls").alias("url")).withColumn("id", F.when((F.col("kind") == "urls") & (found != ""), found))
+
+
 def write_csv(rows: DataFrame, path: str, labels: dict[str, str] | None = None) -> None:
     """CSV files with a header of labels, nulls as blanks."""
     out = rows.select([F.col(c).alias((labels or {}).get(c, c)) for c in rows.columns])

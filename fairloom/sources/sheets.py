@@ -10,9 +10,12 @@ from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fairloom.operators.leaders import numbered_in_order
+
 _M = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -103,13 +106,38 @@ def workbook(header: Sequence[str], rows: Sequence[Sequence[object]], choices: d
     return out.getvalue()
 
 
+def with_leftovers(rows: DataFrame, kept: Sequence[str], name: str = "notes", apart: Sequence[str] = ("file_path", "row_no")) -> DataFrame:
+    """rows with the kept columns, and all others that are filled as one JSON object, in the order of the columns; null
+    where none is filled. Columns apart stay as they are."""
+    rest = [c for c in rows.columns if c not in (*kept, *apart)]
+    filled = F.map_filter(F.map_from_arrays(F.array(*map(F.lit, rest)), F.array(*[F.trim(F.col(c)) for c in rest])), lambda _, v: F.coalesce(v, F.lit("")) != "") if rest else F.create_map()
+    return rows.select(*[c for c in apart if c in rows.columns], *kept, F.when(F.size(filled) > 0, F.to_json(filled)).alias(name))
+
+
 def export_workbook(rows: DataFrame, path: str, labels: dict[str, str] | None = None, choices: dict[str, Sequence[str]] | None = None, most: int = 100_000) -> int:
-    """Write a small, ordered result as a workbook with a row number; refuses more than most rows. Returns the rows."""
-    got = rows.limit(most + 1).collect()
-    if len(got) > most:
-        raise ValueError(f"a workbook takes at most {most} rows; write CSV instead")
+    """Write an ordered result as a workbook with a row number; returns the rows. A sheet takes at most `most` rows: what
+    is more goes on in further workbooks beside the first, path-2.xlsx and so on, numbered through. Each workbook is made
+    in a task, and the driver holds one at a time."""
     header = ["#", *[(labels or {}).get(c, c) for c in rows.columns]]
     picks = {rows.columns.index(c) + 1: v for c, v in (choices or {}).items()}
-    with open(path, "wb") as out:
-        out.write(workbook(header, [(i, *r) for i, r in enumerate(got, 1)], picks))
-    return len(got)
+    columns = rows.columns
+    numbered = numbered_in_order(rows)
+    n = "n_" if "n" in columns else "n"
+    if n != "n":
+        numbered = numbered_in_order(rows.select(F.struct(*columns).alias("row_"))).select("row_.*", F.col("n").alias(n))
+    parts = numbered.withColumn("part_", F.floor((F.col(n) - 1) / most))
+
+    def made(table: pa.Table) -> pa.Table:
+        table = table.sort_by(n)
+        body = workbook(header, [(r[n], *(r[c] for c in columns)) for r in table.to_pylist()], picks)
+        return pa.table({"part": [table["part_"][0].as_py()], "rows": [table.num_rows], "content": pa.array([body], pa.binary())})
+
+    total = 0
+    for book in parts.groupBy("part_").applyInArrow(made, "part long, rows long, content binary").toLocalIterator():
+        with open(path if book.part == 0 else re.sub(r"(\.xlsx)?$", f"-{book.part + 1}.xlsx", path, count=1), "wb") as out:
+            out.write(book.content)
+        total += book.rows
+    if not total:
+        with open(path, "wb") as out:
+            out.write(workbook(header, [], picks))
+    return total

@@ -72,3 +72,38 @@ def test_nested_records_and_detail_pages_without_parts(spark):
     none, blank, some = anchored.anchored_rows(pages).collect()
     assert none.cn_name is None and none.year == 0 and blank.organizer is None
     assert (some.cn_name, some.date_str, some.year, some.organizer, some.city) == ("A展", "2026.01.02", 2026, "甲", None)
+
+
+def test_sitemaps_plain_gzip_and_broken(spark, tmp_path):
+    import gzip
+
+    from fairloom.sources import files
+
+    urls = [f"https://x.example/e/{i}.html?a=1&amp;b={i}" if i % 2 else f"https://x.example/e/{i}" for i in range(500)]
+    body = ("<urlset>" + "".join(f"<url><loc> {u}\n</loc></url>" for u in urls) + "</urlset>").encode()
+    (tmp_path / "plain.xml").write_bytes(body)
+    (tmp_path / "packed.xml.gz").write_bytes(gzip.compress(body))
+    (tmp_path / "broken.xml.gz").write_bytes(gzip.compress(body)[:60])
+    (tmp_path / "empty.xml").write_bytes(b"<urlset/>")
+    (tmp_path / "index.xml").write_bytes(b"<sitemapindex><sitemap><loc>https://x.example/packed.xml.gz?v=2</loc></sitemap></sitemapindex>")
+    rows = files.sitemaps(spark, str(tmp_path)).collect()
+    by = lambda end: [r for r in rows if r.file_path.endswith(end)]
+    assert len(by("plain.xml")) == len(by("packed.xml.gz")) == 500 and {r.url for r in by("plain.xml")} == {r.url for r in by("packed.xml.gz")}
+    assert {r.id for r in by("plain.xml")} == {None} | {str(i) for i in range(0, 500, 2)} and by("plain.xml")[1].url.endswith("a=1&b=1")
+    assert {r.listed_by is not None for r in by("packed.xml.gz")} == {True} and by("plain.xml")[0].listed_by is None
+    assert [(r.kind, r.url) for r in by("broken.xml.gz")] == [(None, None)] and by("broken.xml.gz")[0].problem
+    assert [(r.kind, r.url, r.problem) for r in by("empty.xml")] == [("urls", None, None)]
+    whole = files.sitemap_entries(gzip.compress(body))
+    assert files.sitemap_entries(gzip.compress(body), 7) == whole and files.sitemap_entries(body, 3) == whole
+
+
+def test_leftover_columns_and_many_workbooks(spark, tmp_path):
+    from fairloom.sources import sheets
+
+    rows = spark.createDataFrame([(str(i), f"n{i}", " x " if i % 2 else "", None if i % 3 else "y", i) for i in range(23)], "a string, b string, c string, d string, n int").orderBy("n")
+    got = {r.a: r.notes for r in sheets.with_leftovers(rows.drop("n"), ["a", "b"]).collect()}
+    assert got["0"] == '{"d":"y"}' and got["3"] == '{"c":"x","d":"y"}' and got["2"] is None and got["1"] == '{"c":"x"}'
+    assert sheets.export_workbook(rows, str(tmp_path / "out.xlsx"), {"a": "A"}, most=10) == 23
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["out-2.xlsx", "out-3.xlsx", "out.xlsx"]
+    third = sheets.cells((tmp_path / "out-3.xlsx").read_bytes())
+    assert third[0][:3] == ["#", "A", "b"] and [r[0] for r in third[1:]] == ["21", "22", "23"] and third[1][1] == "20"
