@@ -103,15 +103,15 @@ def rated(got, labels):
 
 
 @pytest.mark.parametrize("label", [0, 1])
-def test_a_very_long_labelled_text_changes_little(spark, label):
-    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+def test_a_very_long_labelled_text_changes_little(tables, label):
+    docs, labels = tables
     first = docs.join(labels.where(f"toxic = {label}"), "doc_id").where((toxicity.fold("doc_id") != 0) & (toxicity.F.length("text") > 200)).orderBy("doc_id").first()
     times = 8_000_000 // len(first.text) + 1
     longer = docs.withColumn("text", toxicity.F.when(toxicity.F.col("doc_id") == first.doc_id, toxicity.F.repeat("text", times)).otherwise(toxicity.F.col("text")))
     before, after = (toxicity.toxicity_report(d, labels).collect() for d in (docs, longer))
     assert abs(rated(before, labels) - rated(after, labels)) < 0.02
     kept = toxicity.reject_toxic(longer, labels).count()
-    assert abs(kept - sum(r.predicted == 0 for r in before)) <= 10
+    assert abs(kept - sum(r.predicted == 0 for r in before)) <= 20
 
 
 @pytest.mark.parametrize("label", [0, 1])
