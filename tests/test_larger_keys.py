@@ -13,7 +13,7 @@ def folder(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["cascade_steps"])
+@pytest.mark.parametrize("name", ["cascade_steps", "merge_run_brands", "merge_run_editions", "merge_run_stats", "merge_dry_run"])
 def test_same_rows_as_sql_where_shown_names_repeat(spark, folder, name):
     con = duckdb.connect()
     con.execute(f"create view customer as select * from '{folder}/customer.parquet'")
