@@ -1,6 +1,7 @@
 """Merging, matching and governing on small snapshots."""
 
 import difflib
+import itertools
 import random
 
 import pytest
@@ -8,6 +9,7 @@ import pytest
 from fairloom import schema
 from fairloom.operators import similarity as S
 from fairloom.operators.graph import connected_components
+from fairloom.operators.storage import dealt
 from fairloom.plans import batch as B
 
 RAW = "cn_name string, en_name string, date_str string, venue string, city string, area_str string, visitors_str string, exhibitors_str string, organizer string, cycle string, industry string, source_url string, year int, crawl_batch_id string"
@@ -137,6 +139,36 @@ def test_folding(spark):
     assert out == {("上海机床展", "上海机床展A", 9), ("食品甲乙丙丁", "糖酒食品甲乙丙丁", 2), ("完全不同", "", 3), ("无馆", "", 7)}
 
 
+def test_folding_is_dealt_by_size_once(spark):
+    """Groups against a plain loop over all names; more rows make more partitions, not larger ones."""
+    rng = random.Random(4)
+    words = ["机床", "食品", "国际", "展览会", "上海", "A", "B"]
+    rows = sorted({("".join(rng.choices(words, k=rng.randint(1, 4))), "1", "2", f"馆{rng.randint(0, 90)}") for _ in range(300)}) + [(None, "1", "2", "馆"), ("机床", "1", "2", "馆"), (" ", "1", "2", "馆1")]
+    rows = [(*r, i, f"x{i}") for i, r in enumerate(rows + rows[:9])]
+    df = spark.createDataFrame(rows, "name string, start string, end string, venue string, area int, note string")
+    want, halls = set(), {}
+    for r in rows:
+        halls.setdefault(r[3], []).append(r)
+    for hall, here in halls.items():
+        names = sorted({r[0] for r in here if r[0] is not None})
+        lead = {n: n for n in [*names, None]}
+        if len(here) > 1 and names[0][:3] == names[-1][:3] and len(names[0]) >= 3:
+            lead = dict.fromkeys(lead, "all")
+        elif 1 < len(here) <= 5:
+            for x, y in itertools.combinations(names, 2):
+                if difflib.SequenceMatcher(None, x, y).ratio() >= 0.45:
+                    lead = {n: lead[x] if g == lead[y] else g for n, g in lead.items()}
+        for g in set(lead.values()):
+            some = [r for r in here if lead[r[0]] == g]
+            all_names = sorted((r[0] for r in some if r[0] is not None), key=lambda n: (len(n), n))
+            if some:
+                want.add((all_names[0] if all_names else None, hall, max(r[4] for r in some), "；".join(all_names[1:])))
+    for share in (250_000, 20):
+        out = B.folded_colocated(df, share=share)
+        assert {(r.name, r.venue, r.area, r.aliases) for r in out.collect()} == want
+    assert dealt(df, "venue", rows=20).rdd.getNumPartitions() == -(-len(rows) // 20)
+
+
 def test_prospects_and_constraints(spark):
     kind = "brand_id string, qcc_key_no string, name string"
     have = spark.createDataFrame([("b1", "k1", "A"), ("b1", None, "B")], kind)
