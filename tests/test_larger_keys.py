@@ -1,9 +1,9 @@
-"""Queries whose SQL shows names that repeat every 20,000 customers: each customer is still a fair of its own."""
+"""Queries on more customers than sf0.1 has. Where the SQL's names repeat every 20,000, each is still a fair of its own."""
 
 import duckdb
 import pytest
 
-from fairloom.plans import catalogue
+from fairloom.plans import catalogue, sourcing
 
 
 @pytest.fixture(scope="module")
@@ -23,3 +23,10 @@ def test_same_rows_as_sql_where_shown_names_repeat(spark, folder, name):
     got = [tuple(r) for r in catalogue.queries()[name](spark, folder).select(*names).collect()]
     assert len(want) == 1 or len(want) > 100
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_pages_of_one_small_file_are_dealt(spark, tmp_path):
+    """A small file of many customers is one task to read; the pages made of it are many."""
+    duckdb.execute(f"copy (select k as c_custkey, 'C' || k as c_name, (k % 25)::INT as c_nationkey, 'BUILDING' as c_mktsegment from range(130000) a(k)) to '{tmp_path}/customer.parquet'")
+    pages = sourcing._category_pages(spark, str(tmp_path))
+    assert pages.rdd.getNumPartitions() == 7 and pages.count() == 130000
