@@ -117,3 +117,17 @@ def test_unequal_norms_are_pruned_too(spark, kind):
     print(kind, hits / (20 * len(queries)), visited, verified)
     assert hits / (20 * len(queries)) >= 0.9 and verified < 0.15
     assert visited < 0.55 or kind == "one long vector"
+
+
+@pytest.mark.parametrize("n", [300, 66_000])
+def test_collisions_are_counted_as_in_the_sorted_arrays(n):
+    rng = np.random.default_rng(3)
+    vectors = rng.standard_normal((n, 8))
+    block = neighbours.Block(np.arange(n), vectors, float(np.sqrt((vectors**2).sum(axis=1)).max()), 5)
+    m = len(block.ends)
+    a, b = np.sort(rng.integers(0, n + 1, (2, m)), axis=0)
+    a[0], b[0], a[1], b[1] = 0, n, 7, 7  # all of an array, none of one
+    extra = np.sqrt(np.maximum(block.largest**2 - (vectors**2).sum(axis=1), 0))
+    order = np.argsort(np.hstack([vectors, extra[:, None]]) @ block.lines, axis=0, kind="stable")
+    want = np.bincount(np.concatenate([order[i:j, k] for k, (i, j) in enumerate(zip(a, b, strict=True))]), minlength=n)
+    assert (block._counts(block.ends + a, block.ends + b) == want).all()
