@@ -2,8 +2,9 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from fairloom.plans import catalogue, sourcing
+from fairloom.plans import batch, catalogue, sourcing
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +26,42 @@ def test_same_rows_as_sql_where_shown_names_repeat(spark, folder, name):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_cascade_parts_are_found_in_their_own_names_alone(spark, tmp_path):
+    """The fair of 160000 once had 8's characters, one place on, and its id comes first."""
+    duckdb.execute(f"copy (select k as c_custkey from (values (3), (8), (53), (160000)) t(k)) to '{tmp_path}/customer.parquet'")
+    found = {(r.brand_id, r.step) for r in catalogue.queries()["cascade_steps"](spark, str(tmp_path)).collect()}
+    assert found == {("B8", "first 10"), ("B3", "organizer")}
+
+
+def most_rows(spark, run) -> int:
+    """The most rows that a step of the plans behind run() makes."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    made = [0]
+    executions = store.executionsList()
+    for i in range(before, executions.size()):
+        at = executions.apply(i).executionId()
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            metrics = node.metrics()
+            for m in (metrics.apply(j) for j in range(metrics.size())):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    made.append(int(values.apply(m.accumulatorId()).replace(",", "")))
+    return max(made)
+
+
+@pytest.mark.parametrize("name, step", [("concat('杜塞尔', id)", "organizer"), ("concat('上海国际机床', id)", "first 6")])
+def test_cascade_names_do_not_meet_all_brands_of_a_word(spark, name, step):
+    wanted = spark.range(2000).select(F.expr(name).alias("name"))
+    brands = spark.range(1000).select(F.concat(F.lit("B"), F.col("id").cast("string")).alias("brand_id"), F.concat(F.lit("上海国际机床展览会第"), F.col("id").cast("string")).alias("name_cn"), F.lit("").alias("name_en"), F.lit("德国杜塞尔多夫展览公司").alias("organizer"))
+    found = []
+    most = most_rows(spark, lambda: found.extend(batch.cascade_matches(wanted, brands).collect()))
+    assert len(found) == 2000 and {(r.brand_id, r.step) for r in found} == {("B0", step)}
+    assert 2000 <= most < 100_000
+
+
 def test_pages_of_one_small_file_are_dealt(spark, tmp_path):
     """A small file of many customers is one task to read; the pages made of it are many."""
     duckdb.execute(f"copy (select k as c_custkey, 'C' || k as c_name, (k % 25)::INT as c_nationkey, 'BUILDING' as c_mktsegment from range(130000) a(k)) to '{tmp_path}/customer.parquet'")
