@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from fairloom.plans import batch, catalogue, sourcing
+from fairloom.plans import batch, catalogue, merging, sourcing
 
 
 @pytest.fixture(scope="module")
@@ -26,6 +26,26 @@ def test_same_rows_as_sql_where_shown_names_repeat(spark, folder, name):
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
+def test_a_run_gets_all_rows_of_both_sites(spark, folder):
+    """Site b's rows once were made of site a's where names repeat, and counted before the run."""
+    _, a, b = merging._fairs(spark, folder)
+    everyone = {k + turn * 20000 for k in range(100) for turn in range(3)}
+    assert sorted(r.id for r in a.select("id").collect()) == sorted(k for k in everyone if k % 4 != 1)
+    assert sorted(r.id for r in b.select("id").collect()) == sorted(k for k in everyone if k % 4 != 3)
+    assert {r.source_url for r in b.select("source_url").collect()} == {f"https://site_b.x/{k}" for k in everyone if k % 4 != 3}
+
+
+@pytest.mark.parametrize("every_pair", [False, True])
+def test_pairs_of_rows_that_show_one_name_are_counted(spark, every_pair):
+    kind = "id long, cn_name string, listed_name string, source_url string"
+    a = spark.createDataFrame([(1, "X1", "X", "a1"), (2, "X2", "X", "a2"), (3, "Z1", "Z", "a3")], kind)
+    b = spark.createDataFrame([(1, "X1", "X", "b1"), (4, "X3", "X", "b4"), (5, "X4", "X", "b5"), (6, "Y1", "Y", "b6"), (7, "Y2", "Y", "b7"), (8, "Y2", "Y", "b8")], kind)
+    merged = batch.two_sources(batch.normalised_rows(a), batch.normalised_rows(b), "a", "b", every_pair)
+    got = {(r.cn_name, r.data_source, tuple(r.source_urls), r.listings) for r in merged.collect()}
+    n = 3 if every_pair else 1
+    assert got == {("X1", "a+b", ("a1", "b5"), n), ("X2", "a+b", ("a2", "b5"), n), ("Z1", "a", ("a3",), 1), ("Y1", "b", ("b6",), 1), ("Y2", "b", ("b8",), 2 if every_pair else 1)}
+
+
 def test_cascade_parts_are_found_in_their_own_names_alone(spark, tmp_path):
     """The fair of 160000 once had 8's characters, one place on, and its id comes first."""
     duckdb.execute(f"copy (select k as c_custkey from (values (3), (8), (53), (160000)) t(k)) to '{tmp_path}/customer.parquet'")
